@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import grouped_texts, utf8
 
-#: Words kept with their codes in each Python worker; beyond that the table starts anew.
-KEPT_WORDS = 150_000
+#: Words kept with their codes in each Python worker; twice as many at most.
+KEPT_WORDS = 300_000
 KEPT_ARCS = 400_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -56,7 +56,11 @@ class MergeAutomaton:
         for t, label in enumerate(labels):
             if label and (len(label) == 1 or t in made):
                 self.ids.setdefault(label, t)
-        self.longest = max(map(len, self.ids))
+        #: Labels and their beginnings: the token, or -1 if only longer labels begin so. shorter: the next shorter label.
+        self.trie = {label[:k]: -1 for label in self.ids for k in range(1, len(label))} | self.ids
+        self.shorter = [-1] * n
+        for label, t in self.ids.items():
+            self.shorter[t] = next((self.ids[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self.ids), -1)
         self.arcs: dict[tuple[int, int], bool] = {}
 
     def arc(self, t1: int, t2: int) -> bool:
@@ -84,20 +88,36 @@ class MergeAutomaton:
                 limit, t2 = b + 1, left[t2]
 
     def encode_word(self, word: bytes) -> list[int]:
-        ids, arc, longest = self.ids.get, self.arc, self.longest
-        n = len(word)
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ids(word[j:i])
-                if t is not None and (j == 0 or (last[j] >= 0 and arc(last[j], t))):
-                    last[i], size[i] = t, i - j
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+        """The labels of the only accepted path over the word: the longest arc first, then shorter ones; positions from
+        which no path goes on are struck off, so the work is bounded by the word's length times the longest label."""
+        trie, arcs, arc, shorter, labels = self.trie.get, self.arcs.get, self.arc, self.shorter, self.labels
+        n, path, starts, dead, at, last = len(word), [], [], set(), 0, -1
+        t = -2
+        while at < n:
+            if t == -2:  # the longest label from here
+                t, e = -1, at + 1
+                while e <= n and (x := trie(word[at:e])) is not None:
+                    if x >= 0:
+                        t = x
+                    e += 1
+            while t >= 0:
+                ok = True if last < 0 else arcs((last, t))
+                if arc(last, t) if ok is None else ok:
+                    end = at + len(labels[t])
+                    if end not in dead:
+                        break
+                t = shorter[t]
+            if t >= 0:
+                path.append(t)
+                starts.append(at)
+                at, last, t = end, t, -2
+            else:
+                dead.add(at)
+                if not path:
+                    raise ValueError("a byte without a token")
+                at, t = starts.pop(), shorter[path.pop()]
+                last = path[-1] if path else -1
+        return path
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.labels[t] for t in ids])
@@ -132,17 +152,26 @@ class BytePairCoder:
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def _word(self, word: str) -> tuple[str, int, bytes]:
         """Codes of a word as text, their number, and the bytes that these codes decode to."""
+        if (got := self.older.get(word)) is not None:
+            self._keep(word, got)
+            return got
         ids = self.automaton.encode_word(utf8(word))
         got = ",".join(map(str, ids)), len(ids), self.automaton.decode(ids)
         if len(word) <= 64:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = got
+            self._keep(word, got)
         return got
 
+    def _keep(self, word: str, got: tuple[str, int, bytes]) -> None:
+        """Two generations: when the newer one is full, it becomes the older one, and the older one goes."""
+        if len(self.kept) >= KEPT_WORDS:
+            self.older = dict(self.kept)
+            self.kept.clear()
+        self.kept[word] = got
+
     def parts(self, text: str | None) -> list[tuple[str, int, bytes]]:
         if not text:
             return []

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, jpeg
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
+    "op2_jpeg_media": jpeg.query,
 }
 
 LLM_ORACLES: dict[str, str] = {}

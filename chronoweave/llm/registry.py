@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg
+from . import bpe, jpeg, langid, licenses, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
     "op2_jpeg_media": jpeg.query,
+    "op3_language_id": langid.query,
+    "op5_toxicity": toxicity.query,
+    "op6_license_scan": licenses.query,
+    "op8_simhash": simhash.query,
 }
 
 LLM_ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jpeg, langid, licenses, simhash, toxicity
+from . import bpe, decontaminate, jpeg, langid, licenses, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
@@ -11,6 +11,9 @@ LLM_QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_license_scan": licenses.query,
     "op8_simhash": simhash.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jpeg, langid, licenses, simhash, toxicity
+from . import bpe, decontaminate, jpeg, langid, licenses, linededup, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
@@ -12,6 +12,7 @@ LLM_QUERIES = {
     "op6_license_scan": licenses.query,
     "op8_simhash": simhash.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_line_dedup": linededup.query,
 }
 
 LLM_ORACLES: dict[str, str] = {

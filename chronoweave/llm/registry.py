@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jpeg, langid, licenses, linededup, simhash, toxicity
+from . import bpe, decontaminate, jpeg, langid, licenses, linededup, quality, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
@@ -10,6 +10,7 @@ LLM_QUERIES = {
     "op3_language_id": langid.query,
     "op5_toxicity": toxicity.query,
     "op6_license_scan": licenses.query,
+    "op7_quality": quality.query,
     "op8_simhash": simhash.query,
     "op9_decontaminate": decontaminate.query,
     "op10_line_dedup": linededup.query,

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import regex
 from pyspark.sql import DataFrame
@@ -40,6 +41,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Of a word: its codes as text, their number, the bytes they decode to, the codes as 32-bit integers.
+Word = tuple[str, int, bytes, bytes]
+
+
 class MergeAutomaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
         """labels: bytes of each token, in order of id. merges: (left, right, result) in rank order."""
@@ -151,45 +156,44 @@ class BytePairCoder:
             labels[t] = token.encode()
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.kept: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
 
-    def _word(self, word: str) -> tuple[str, int, bytes]:
-        """Codes of a word as text, their number, and the bytes that these codes decode to."""
+    def _word(self, word: str) -> Word:
         if (got := self.older.get(word)) is not None:
             self._keep(word, got)
             return got
         ids = self.automaton.encode_word(utf8(word))
-        got = ",".join(map(str, ids)), len(ids), self.automaton.decode(ids)
+        got = ",".join(map(str, ids)), len(ids), self.automaton.decode(ids), array("i", ids).tobytes()
         if len(word) <= 64:
             self._keep(word, got)
         return got
 
-    def _keep(self, word: str, got: tuple[str, int, bytes]) -> None:
+    def _keep(self, word: str, got: Word) -> None:
         """Two generations: when the newer one is full, it becomes the older one, and the older one goes."""
         if len(self.kept) >= KEPT_WORDS:
             self.older = dict(self.kept)
             self.kept.clear()
         self.kept[word] = got
 
-    def parts(self, text: str | None) -> list[tuple[str, int, bytes]]:
+    def parts(self, text: str | None) -> list[Word]:
         if not text:
             return []
         if self.split and self.split.search(text):
             out, at = [], 0
             for m in self.split.finditer(text):
                 out += self.parts_plain(text[at : m.start()])
-                out.append((str(t := self.added[m[0]]), 1, self.automaton.labels[t]))
+                out.append((str(t := self.added[m[0]]), 1, self.automaton.labels[t], array("i", [t]).tobytes()))
                 at = m.end()
             return out + self.parts_plain(text[at:])
         return self.parts_plain(text)
 
-    def parts_plain(self, text: str) -> list[tuple[str, int, bytes]]:
+    def parts_plain(self, text: str) -> list[Word]:
         kept, word = self.kept, self._word
         return [kept.get(w) or word(w) for w in self.pattern.findall(text)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(t) for codes, _, _ in self.parts(text) for t in codes.split(",")]
+        return array("i", b"".join([x[3] for x in self.parts(text)])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids).decode("utf-8", "replace")
@@ -212,18 +216,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int): the codes of each whole text. Null and empty texts give an empty array."""
+    """id, n_tokens, ids (array of int): the codes of each whole text. Null and empty texts give an empty array."""
     path = path or tokenizer_path()
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(it):
+        import numpy as np
         import pyarrow as pa
 
         c = coder(path)
         for keys, texts in grouped_texts(it):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([c.encode(t) for t in texts], pa.list_(pa.int32()))], [id_col, "ids"])
+            packed = [b"".join([x[3] for x in c.parts(t)]) for t in texts]
+            n = np.array([len(p) // 4 for p in packed], np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), ids], [id_col, "n_tokens", "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

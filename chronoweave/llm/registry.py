@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jpeg, langid, licenses, linededup, quality, simhash, toxicity
+from . import bpe, decontaminate, html, jpeg, langid, licenses, linededup, quality, simhash, toxicity
 
 LLM_QUERIES = {
     "op1_bpe_round_trip": bpe.query,
     "op2_jpeg_media": jpeg.query,
     "op3_language_id": langid.query,
+    "op4_html_text": html.query,
     "op5_toxicity": toxicity.query,
     "op6_license_scan": licenses.query,
     "op7_quality": quality.query,

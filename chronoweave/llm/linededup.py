@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 THRESHOLD = 2
 #: Shorter lines (trimmed, in characters) are left alone: they repeat by chance.
 MIN_CHARS = 20
-LETTERS = "etanio"
+LETTERS = "etaniorshdlu"
 
 
 def edit_distance_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -67,12 +67,32 @@ def edit_distance_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Co
     return F.aggregate(F.sequence(F.lit(0), n_t - 1), start, step, lambda s: s["d"]) <= threshold
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with computed columns behind a generator: predicates on them aren't pushed below it, so an expression is
+    worked out once a row and not once for each time it is named."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def verified(pairs: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs within ``threshold`` edits; the longer text of a pair is the pattern."""
-    longer = F.length(a) >= F.length(b)
-    with_chars = pairs.withColumn("_a", F.when(longer, F.col(a)).otherwise(F.col(b))).withColumn("_b", F.when(longer, F.col(b)).otherwise(F.col(a)))
-    with_chars = with_chars.withColumn("_p", F.split("_a", "")).withColumn("_t", F.split("_b", ""))
-    return with_chars.where(edit_distance_within(F.col("_a"), F.col("_b"), threshold)).drop("_a", "_b", "_p", "_t")
+    """The pairs within ``threshold`` edits. The common beginning and end of two texts, found by halving steps, don't
+    count: the distance is that of what is left, a few characters as a rule. The longer rest is the pattern."""
+    names = pairs.columns
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+
+    def common(x: str, y: str) -> Column:
+        n = F.least(F.length(x), F.length(y))
+        same = lambda at, w: F.substr(F.col(x), at + 1, w) == F.substr(F.col(y), at + 1, w)
+        return F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w <= n) & same(at, w), at + w).otherwise(at))
+
+    rest = fixed(fixed(pairs, _ra=F.reverse(a), _rb=F.reverse(b)), _at=common(a, b), _end=common("_ra", "_rb"))
+    left = lambda c: F.substr(F.col(c), F.col("_at") + 1, F.length(c) - F.col("_at") - F.least(F.col("_end"), F.least(F.length(a), F.length(b)) - F.col("_at")))
+    rest = fixed(rest, _a=left(a), _b=left(b))
+    longer = F.length("_a") >= F.length("_b")
+    rest = fixed(rest, _x=F.when(longer, F.col("_a")).otherwise(F.col("_b")), _y=F.when(longer, F.col("_b")).otherwise(F.col("_a")))
+    chars = fixed(rest.where(F.length("_x") - F.length("_y") <= threshold), _p=F.split("_x", ""), _t=F.split("_y", ""))
+    # a rest of THRESHOLD characters is as far away as it is long, at most
+    near = F.when(F.length("_x") <= threshold, True).when(F.length("_y") == 0, False).otherwise(edit_distance_within(F.col("_x"), F.col("_y"), threshold))
+    return chars.where(near).select(names)
 
 
 def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
@@ -93,62 +113,82 @@ def _keys(line: Column, length: Column, threshold: int, shorter: int | None) ->
     return out
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _no, _line (as it stands), _key (trimmed, null for lines too short to judge)."""
-    each = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_line"))
-    trimmed = F.trim("_line")
-    return each.withColumn("_key", F.when(F.length(trimmed) >= MIN_CHARS, trimmed))
-
-
-def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """lines: different lines as (h1, h2, m), m with fields _id, _no, _line. Returns h1, h2 of each line that has an
-    earlier line within ``threshold`` edits."""
-    key = F.trim("m._line")
-    size = F.length("key")
-    count = lambda c: F.least(F.length("key") - F.length(F.replace("key", F.lit(c))), F.lit(1023)).cast("long")
-    letters = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        letters = letters.bitwiseOR(F.shiftleft(count(c), 10 * k))
-    base = lines.select("h1", "h2", key.alias("key")).select("h1", "h2", "key", size.alias("n"), letters.alias("letters"))
-    stored = base.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("letters").alias("letters2"), F.explode(F.array(*_keys(F.col("key"), F.col("n"), threshold, None))).alias("k"))
-    wanted = F.array(*[F.struct(x.alias("k"), F.lit(d).cast("byte").alias("d")) for d in range(threshold + 1) for x in _keys(F.col("key"), F.col("n"), threshold, d)])
-    probes = base.select("h1", "h2", "letters", F.inline(wanted))
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select("_id", F.split("_text", "\n", -1).alias("_lines"))
+
+
+def _counts(key: str, letters: str) -> Column:
+    """How often each letter stands in the line, ten bits each."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(letters):
+        n = F.least(F.length(key) - F.length(F.replace(F.col(key), F.lit(c))), F.lit(1023)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n, 10 * k))
+    return out
+
+
+def candidates(firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """firsts: _id, _no, _key. Pairs (a_id, a_no, b_id, b_no), b before a, that share a segment and whose letter
+    counts leave ``threshold`` edits possible."""
+    base = firsts.select("_id", "_no", "_key", F.length("_key").alias("_n"), _counts("_key", LETTERS[:6]).alias("_l"), _counts("_key", LETTERS[6:]).alias("_m"))
+    key, n = F.col("_key"), F.col("_n")
+    stored = base.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), F.col("_l").alias("_l2"), F.col("_m").alias("_m2"), F.explode(F.array(*_keys(key, n, threshold, None))).alias("_k"))
+    probes = base.select("_id", "_no", "_l", "_m", F.explode(F.array(*[x for d in range(threshold + 1) for x in _keys(key, n, threshold, d)])).alias("_k"))
     apart = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        of = lambda c, k=k: F.shiftright(F.col(c), 10 * k).bitwiseAND(F.lit(1023))
-        apart = apart + F.abs(of("letters") - of("letters2"))
-    once = (F.col("d") > 0) | (F.col("h1") > F.col("g1")) | ((F.col("h1") == F.col("g1")) & (F.col("h2") > F.col("g2")))
-    pairs = probes.join(stored.hint("shuffle_hash"), "k").where(once & (apart <= 2 * threshold)).select("h1", "h2", "g1", "g2").distinct()
-    one = lines.select("h1", "h2", F.col("m").alias("ma"))
-    two = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("m").alias("mb"))
-    both = pairs.join(one, ["h1", "h2"]).join(two, ["g1", "g2"])
-    near = verified(both.withColumn("_x", F.trim("ma._line")).withColumn("_y", F.trim("mb._line")), "_x", "_y", threshold)
-    later = F.struct("ma._id", "ma._no") > F.struct("mb._id", "mb._no")
-    return near.select(F.when(later, F.col("h1")).otherwise(F.col("g1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("g2")).alias("h2")).distinct()
+    for x, y in (("_l", "_l2"), ("_m", "_m2")):
+        for k in range(6):
+            of = lambda c, k=k: F.shiftright(F.col(c), 10 * k).bitwiseAND(F.lit(1023))
+            apart = apart + F.abs(of(x) - of(y))
+    later = (F.col("_id") > F.col("_id2")) | ((F.col("_id") == F.col("_id2")) & (F.col("_no") > F.col("_no2")))
+    other = (F.col("_id") != F.col("_id2")) | (F.col("_no") != F.col("_no2"))
+    pick = lambda c, x, y: F.when(c, F.col(x)).otherwise(F.col(y))
+    # each edit changes two letter counts by one, at most
+    return probes.join(stored.hint("shuffle_hash"), "_k").where(other & (apart <= 2 * threshold)).select(
+        pick(later, "_id", "_id2").alias("a_id"), pick(later, "_no", "_no2").alias("a_no"), pick(later, "_id2", "_id").alias("b_id"), pick(later, "_no2", "_no").alias("b_no")
+    ).distinct()
+
+
+def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """texts: _id, _text, partitioned by _id. Returns _id, _kept: the numbers of the judged lines that stay."""
+    each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= MIN_CHARS)
+    # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
+    firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
+    numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
+    of_first = _lines(texts).join(numbers.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
+    pairs = candidates(of_first.select("_id", "x._no", "x._key"), threshold)
+    line = lambda p, x: p.join(_lines(texts).withColumnRenamed("_id", f"{x}_id"), f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
+    with_texts = line(line(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
+    gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))
+    return numbers.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_nos")).otherwise(F.array_except("_nos", "_gone")).alias("_kept"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the repeated lines gone from ``text``, plus n_lines and n_dropped.
 
+    Texts move once, to the partition of their document; all steps that need them read that exchange, and what moves
+    besides are hashes and line numbers.
+
     Defined results: null texts stay null with no lines; an empty text is one empty line and stays; lines under
-    MIN_CHARS always stay; a document may end up empty, it stays as a row. Ids are keys: rows that repeat one count as
-    one document and get the same text. Other columns pass unchanged, whatever their names."""
-    lines = lines_of(docs.select(id_col, text_col), id_col, text_col)
-    whole = F.struct("_id", "_no", "_line")
-    firsts = lines.where(F.col("_key").isNotNull()).groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(whole).alias("m"))
-    kept = firsts.join(links(firsts, threshold), ["h1", "h2"], "left_anti").select("m.*")
-    short = lines.where(F.col("_key").isNull()).select("_id", "_no", "_line")
-    texts = (
-        kept.union(short).groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("_no", "_line"))).alias("_lines"))
-        .select("_id", F.array_join(F.col("_lines._line"), "\n").alias("_text"), F.size("_lines").cast("long").alias("_n"))
-    )
-    rest = [c for c in docs.columns if c != text_col]
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"))) + 1)
-    own = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).isNull().alias("_null"), n.cast("long").alias("_all"))
-    out = own.join(texts, F.col(id_col) == F.col("_id"), "left")
-    text = F.when(~F.col("_null"), F.coalesce("_text", F.lit("")))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.col("_all").alias("n_lines"), (F.col("_all") - F.coalesce("_n", F.lit(0))).alias("n_dropped"))
+    MIN_CHARS always stay; a document may end up empty, it stays as a row. Ids are keys: rows that repeat one are
+    judged as one document (each keeps the lines that the id keeps). Other columns pass unchanged, whatever their
+    names."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).repartition("_id")
+    kept = kept_lines(texts, threshold)
+    out = _lines(texts).join(kept.hint("shuffle_hash"), "_id", "left")
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    short = F.filter(every, lambda i: F.length(F.trim(F.get("_lines", i))) < MIN_CHARS)
+    left = F.array_sort(F.array_union(short, F.coalesce("_kept", F.array().cast("array<int>"))))
+    out = out.select("_id", "_lines", left.alias("_left")).select("_id", F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n").alias("_text"), F.size("_lines").alias("_all"), F.size("_left").alias("_n"))
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    new = [F.col("_all").cast("long").alias("n_lines"), (F.col("_all") - F.col("_n")).cast("long").alias("n_dropped")]
+    if not rest:
+        same = docs.where(F.col(text_col).isNull() | F.col(id_col).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+        return out.select(*[F.col("_id").alias(c) if c == id_col else F.col("_text").alias(c) for c in docs.columns], *new).unionByName(same)
+    own = docs.select(F.col(id_col).alias("_key_id"), F.col(text_col).isNull().alias("_null"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(rest)])
+    joined = own.join(out.dropDuplicates(["_id"]), F.col("_key_id") == F.col("_id"), "left")
+    names = {c: f"_c{k}" for k, c in enumerate(rest)}
+    columns = [F.col("_key_id").alias(c) if c == id_col else F.when(~F.col("_null"), F.col("_text")).alias(c) if c == text_col else F.col(names[c]).alias(c) for c in docs.columns]
+    zero = lambda c: F.when(F.col("_null"), 0).otherwise(c).cast("long")
+    return joined.select(*columns, zero(F.coalesce("_all", F.lit(0))).alias("n_lines"), zero(F.coalesce(F.col("_all") - F.col("_n"), F.lit(0))).alias("n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ a line within THRESHOLD edits comes before it; "before" is by (document id, line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,21 +97,29 @@ def verified(pairs: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> Da
     return chars.where(near).select(names)
 
 
-def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment k of a line; the last segments are one longer."""
-    small, long_ones = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    first_long = parts - long_ones
-    return small * k + F.greatest(F.lit(k) - first_long, F.lit(0)), small + F.when(F.lit(k) >= first_long, 1).otherwise(0)
+#: Four bytes a character, so that a substring is cut out without counting characters.
+WIDE = 4
+
 
+def _parts(length: Column, threshold: int) -> dict[str, Column]:
+    """For each shorter length in reach, its segments' size and how many of them are one longer."""
+    out = {}
+    for d in range(threshold + 1):
+        size = F.call_function("div", length - d, F.lit(threshold + 1)).cast("int")
+        out |= {f"_size{d}": size, f"_long{d}": (length - d - size * (threshold + 1)).cast("int")}
+    return out
 
-def _keys(line: Column, length: Column, threshold: int, shorter: int | None) -> list[Column]:
-    """shorter None: the keys a line is indexed under. Else those it looks up among lines so much shorter."""
-    parts, out = threshold + 1, []
-    of = length if shorter is None else length - shorter
+
+def _keys(threshold: int, shorter: int | None) -> list[Column]:
+    """Of a line in _wide with length _n: shorter None: the keys it is indexed under. Else those it looks up among
+    lines so much shorter, at every place where a shared segment can stand. The last segments are one longer."""
+    parts, out, d = threshold + 1, [], shorter or 0
+    size, longer = F.col(f"_size{d}"), F.col(f"_long{d}")
     for k in range(parts):
-        start, size = _segment(of, k, parts)
+        start = size * k + F.greatest(longer - (parts - k), F.lit(0))
+        here = size + F.when(longer >= parts - k, 1).otherwise(0)
         moves = [0] if shorter is None else range(max(-k, shorter - (parts - 1 - k)), min(k, shorter + parts - 1 - k) + 1)
-        out += [F.xxhash64(F.lit(k), of, F.substr(line, start + (m + 1), size)) for m in moves]
+        out += [F.xxhash64(F.substr(F.col("_wide"), (start + m) * WIDE + 1, here * WIDE), (F.col("_n") - d) * parts + k) for m in moves]
     return out
 
 
@@ -117,33 +127,51 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("_id", F.split("_text", "\n", -1).alias("_lines"))
 
 
-def _counts(key: str, letters: str) -> Column:
-    """How often each letter stands in the line, ten bits each."""
+def _sketch(key: str) -> Column:
+    """How often each of LETTERS stands in the line, five bits each (counts modulo 32), and the length modulo 4."""
+    out = F.shiftleft(F.length(key).cast("long").bitwiseAND(F.lit(3)), 60)
+    for k, c in enumerate(LETTERS):
+        n = (F.length(key) - F.length(F.replace(F.col(key), F.lit(c)))).cast("long").bitwiseAND(F.lit(31))
+        out = out.bitwiseOR(F.shiftleft(n, 5 * k))
+    return out
+
+
+def _apart(x: str, y: str) -> Column:
+    """At least how many letter counts two sketches differ by; each edit changes two by one, at most."""
     out = F.lit(0).cast("long")
-    for k, c in enumerate(letters):
-        n = F.least(F.length(key) - F.length(F.replace(F.col(key), F.lit(c))), F.lit(1023)).cast("long")
-        out = out.bitwiseOR(F.shiftleft(n, 10 * k))
+    for k in range(len(LETTERS)):
+        of = lambda c, k=k: F.shiftright(F.col(c), 5 * k).bitwiseAND(F.lit(31))
+        d = F.abs(of(x) - of(y))
+        out = out + F.least(d, 32 - d)
     return out
 
 
-def candidates(firsts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """firsts: _id, _no, _key. Pairs (a_id, a_no, b_id, b_no), b before a, that share a segment and whose letter
-    counts leave ``threshold`` edits possible."""
-    base = firsts.select("_id", "_no", "_key", F.length("_key").alias("_n"), _counts("_key", LETTERS[:6]).alias("_l"), _counts("_key", LETTERS[6:]).alias("_m"))
-    key, n = F.col("_key"), F.col("_n")
-    stored = base.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), F.col("_l").alias("_l2"), F.col("_m").alias("_m2"), F.explode(F.array(*_keys(key, n, threshold, None))).alias("_k"))
-    probes = base.select("_id", "_no", "_l", "_m", F.explode(F.array(*[x for d in range(threshold + 1) for x in _keys(key, n, threshold, d)])).alias("_k"))
-    apart = F.lit(0).cast("long")
-    for x, y in (("_l", "_l2"), ("_m", "_m2")):
-        for k in range(6):
-            of = lambda c, k=k: F.shiftright(F.col(c), 10 * k).bitwiseAND(F.lit(1023))
-            apart = apart + F.abs(of(x) - of(y))
+def candidates(firsts: DataFrame, pick: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD) -> DataFrame:
+    """firsts: _id, _no, _key. pick: (_id, _no, _key) of the given (_id, _no). Pairs (a_id, a_no, b_id, b_no), b before
+    a, that share a segment and whose letter counts leave ``threshold`` edits possible.
+
+    Most lines share nothing with any other. Two semi-joins find the keys and lines that do, without a row for each
+    pair; only those lines get letter counts, and only pairs that these let pass become rows."""
+    base = fixed(firsts.select("_id", "_no", "_key"), _n=F.length("_key"), _wide=F.encode("_key", "UTF-32"))
+    base = fixed(base, **_parts(F.col("_n"), threshold))
+    each = lambda keys: base.select("_id", "_no", F.array(*keys).alias("_ks")).select("_id", "_no", F.explode("_ks").alias("_k"))
+    stored = each(_keys(threshold, None)).select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), "_k")
+    probes = each([x for d in range(threshold + 1) for x in _keys(threshold, d)])
+    p, t = probes.alias("p"), stored.alias("t")
+    other = (F.col("p._id") != F.col("t._id2")) | (F.col("p._no") != F.col("t._no2"))
+    asking = materialize(p.join(t.hint("shuffle_hash"), (F.col("p._k") == F.col("t._k")) & other, "left_semi"), "asking")
+    answers = materialize(stored.join(asking.select("_k").distinct().hint("shuffle_hash"), "_k", "left_semi"), "answers")
+    lines = asking.select("_id", "_no").union(answers.select("_id2", "_no2")).distinct()
+    sketches = materialize(pick(lines).select("_id", "_no", _sketch("_key").alias("_s")), "sketches")
+    asks = asking.join(sketches, ["_id", "_no"])
+    answer = answers.join(sketches.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), F.col("_s").alias("_s2")), ["_id2", "_no2"])
     later = (F.col("_id") > F.col("_id2")) | ((F.col("_id") == F.col("_id2")) & (F.col("_no") > F.col("_no2")))
-    other = (F.col("_id") != F.col("_id2")) | (F.col("_no") != F.col("_no2"))
-    pick = lambda c, x, y: F.when(c, F.col(x)).otherwise(F.col(y))
-    # each edit changes two letter counts by one, at most
-    return probes.join(stored.hint("shuffle_hash"), "_k").where(other & (apart <= 2 * threshold)).select(
-        pick(later, "_id", "_id2").alias("a_id"), pick(later, "_no", "_no2").alias("a_no"), pick(later, "_id2", "_id").alias("b_id"), pick(later, "_no2", "_no").alias("b_no")
+    # lines of one length find each other both ways; the later one is enough
+    once = later | (F.shiftright("_s", 60) != F.shiftright("_s2", 60))
+    differ = (F.col("_id") != F.col("_id2")) | (F.col("_no") != F.col("_no2"))
+    either = lambda c, x, y: F.when(c, F.col(x)).otherwise(F.col(y))
+    return asks.join(answer, "_k").where(differ & once & (_apart("_s", "_s2") <= 2 * threshold)).select(
+        either(later, "_id", "_id2").alias("a_id"), either(later, "_no", "_no2").alias("a_no"), either(later, "_id2", "_id").alias("b_id"), either(later, "_no2", "_no").alias("b_no")
     ).distinct()
 
 
@@ -153,8 +181,14 @@ def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
     firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
     numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
-    of_first = _lines(texts).join(numbers.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
-    pairs = candidates(of_first.select("_id", "x._no", "x._key"), threshold)
+
+    def named(by_document: DataFrame) -> DataFrame:
+        """_id, _no, _key of the lines listed for each document."""
+        rows = _lines(texts).join(by_document.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
+        return rows.select("_id", "x._no", "x._key")
+
+    pick = lambda lines: named(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")))
+    pairs = candidates(named(numbers), pick, threshold)
     line = lambda p, x: p.join(_lines(texts).withColumnRenamed("_id", f"{x}_id"), f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
     with_texts = line(line(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
     gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))

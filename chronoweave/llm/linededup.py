@@ -21,6 +21,8 @@ THRESHOLD = 2
 #: Shorter lines (trimmed, in characters) are left alone: they repeat by chance.
 MIN_CHARS = 20
 LETTERS = "etaniorshdlu"
+#: Lists of documents and pairs up to this number of rows (about 50 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def edit_distance_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -155,13 +157,13 @@ def candidates(firsts: DataFrame, pick: Callable[[DataFrame], DataFrame], thresh
     base = fixed(firsts.select("_id", "_no", "_key"), _n=F.length("_key"), _wide=F.encode("_key", "UTF-32"))
     base = fixed(base, **_parts(F.col("_n"), threshold))
     each = lambda keys: base.select("_id", "_no", F.array(*keys).alias("_ks")).select("_id", "_no", F.explode("_ks").alias("_k"))
-    stored = each(_keys(threshold, None)).select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), "_k")
+    stored = materialize(each(_keys(threshold, None)).select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), "_k"), "segments")
     probes = each([x for d in range(threshold + 1) for x in _keys(threshold, d)])
     p, t = probes.alias("p"), stored.alias("t")
     other = (F.col("p._id") != F.col("t._id2")) | (F.col("p._no") != F.col("t._no2"))
     asking = materialize(p.join(t.hint("shuffle_hash"), (F.col("p._k") == F.col("t._k")) & other, "left_semi"), "asking")
     answers = materialize(stored.join(asking.select("_k").distinct().hint("shuffle_hash"), "_k", "left_semi"), "answers")
-    lines = asking.select("_id", "_no").union(answers.select("_id2", "_no2")).distinct()
+    lines = materialize(asking.select("_id", "_no").union(answers.select("_id2", "_no2")).distinct(), "lines")
     sketches = materialize(pick(lines).select("_id", "_no", _sketch("_key").alias("_s")), "sketches")
     asks = asking.join(sketches, ["_id", "_no"])
     answer = answers.join(sketches.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), F.col("_s").alias("_s2")), ["_id2", "_no2"])
@@ -175,22 +177,29 @@ def candidates(firsts: DataFrame, pick: Callable[[DataFrame], DataFrame], thresh
     ).distinct()
 
 
+def beside(texts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Lines of the documents that ``rows`` (stored) name in ``key``, next to these rows: rows of a checked size are
+    broadcast to the scan of the texts; more meet them in the partition of their document."""
+    rows = rows.hint("shuffle_hash") if rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else F.broadcast(rows)
+    return _lines(texts).withColumnRenamed("_id", key).join(rows, key)
+
+
 def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """texts: _id, _text, partitioned by _id. Returns _id, _kept: the numbers of the judged lines that stay."""
+    """texts: _id, _text. Returns _id, _kept: the numbers of the judged lines that stay."""
     each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= MIN_CHARS)
     # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
     firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
     numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
 
-    def named(by_document: DataFrame) -> DataFrame:
-        """_id, _no, _key of the lines listed for each document."""
-        rows = _lines(texts).join(by_document.hint("shuffle_hash"), "_id").select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
+    def named(rows: DataFrame) -> DataFrame:
+        """_id, _no, _key of the lines whose numbers stand in _nos."""
+        rows = rows.select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
         return rows.select("_id", "x._no", "x._key")
 
-    pick = lambda lines: named(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")))
-    pairs = candidates(named(numbers), pick, threshold)
-    line = lambda p, x: p.join(_lines(texts).withColumnRenamed("_id", f"{x}_id"), f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
-    with_texts = line(line(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
+    pick = lambda lines: named(beside(texts, materialize(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "asked"), "_id"))
+    pairs = materialize(candidates(named(_lines(texts).join(numbers.hint("shuffle_hash"), "_id")), pick, threshold), "pairs")
+    line = lambda rows, x: beside(texts, rows, f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
+    with_texts = line(materialize(line(pairs, "a"), "pairs-a"), "b")
     gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))
     return numbers.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_nos")).otherwise(F.array_except("_nos", "_gone")).alias("_kept"))
 
@@ -198,14 +207,13 @@ def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the repeated lines gone from ``text``, plus n_lines and n_dropped.
 
-    Texts move once, to the partition of their document; all steps that need them read that exchange, and what moves
-    besides are hashes and line numbers.
+    Between documents only hashes and line numbers move; texts move to the partition of their own document.
 
     Defined results: null texts stay null with no lines; an empty text is one empty line and stays; lines under
     MIN_CHARS always stay; a document may end up empty, it stays as a row. Ids are keys: rows that repeat one are
     judged as one document (each keeps the lines that the id keeps). Other columns pass unchanged, whatever their
     names."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & F.col("_id").isNotNull()).repartition("_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & F.col("_id").isNotNull())
     kept = kept_lines(texts, threshold)
     out = _lines(texts).join(kept.hint("shuffle_hash"), "_id", "left")
     every = F.sequence(F.lit(0), F.size("_lines") - 1)

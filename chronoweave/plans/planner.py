@@ -316,8 +316,9 @@ class Planner:
         """All series; of those with the same labels the first argument's."""
         parts = [self.vector(self.eval(a)).df.withColumn("i", F.lit(k)) for k, a in enumerate(args)]
         both = reduce(lambda a, b: a.unionByName(b), parts)
-        first = both.groupBy("lk").agg(F.min("i").alias("i"))
-        return Vector(both.join(first, ["lk", "i"], "left_semi").select("lk", "g", "v"))
+        # a window, so that the arguments aren't worked out twice; it holds as many rows of a series as the grid has points
+        first = F.min("i").over(Window.partitionBy("lk"))
+        return Vector(both.withColumn("first", first).where(F.col("i") == F.col("first")).select("lk", "g", "v"))
 
     def f_absent(self, args: list[Node]) -> Vector:
         vec = self.vector(self.eval(args[0])).df
@@ -503,15 +504,18 @@ class Planner:
     def to_le(self, vec: DataFrame) -> DataFrame:
         """gl, g, le, v of bucketed series; vmrange buckets become cumulative ones first."""
         lk = F.col("lk")
-        le = label(lk, "le")
-        plain = vec.where(le != "").select(drop_labels(lk, ["le", NAME]).alias("gl"), "g", F.when(le.isin("+Inf", "Inf"), INF).otherwise(le.try_cast("double")).alias("le"), "v").where(F.col("le").isNotNull())
-        rng = label(lk, "vmrange")
-        high = F.substring_index(rng, "...", -1)
-        ranged = vec.where((le == "") & (rng != "")).select(drop_labels(lk, ["vmrange", NAME]).alias("gl"), "g", F.when(high.isin("+Inf", "Inf"), INF).otherwise(high.try_cast("double")).alias("le"), "v")
-        w = Window.partitionBy("gl", "g").orderBy("le").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cumulative = ranged.groupBy("gl", "g", "le").agg(F.sum("v").alias("v")).withColumn("v", F.sum("v").over(w))
-        top = cumulative.groupBy("gl", "g").agg(F.max("v").alias("v")).select("gl", "g", F.lit(INF).alias("le"), "v")
-        return plain.unionByName(cumulative).unionByName(top)
+        le, rng = label(lk, "le"), label(lk, "vmrange")
+        bound = F.when(le != "", le).otherwise(F.substring_index(rng, "...", -1))
+        rows = vec.where((le != "") | (rng != "")).select(
+            drop_labels(lk, ["le", "vmrange", NAME]).alias("gl"), "g", (le == "").alias("ranged"), F.when(bound.isin("+Inf", "Inf"), INF).otherwise(bound.try_cast("double")).alias("le"), "v"
+        ).where(F.col("le").isNotNull())
+        w = Window.partitionBy("gl", "g", "ranged").orderBy("le")
+        summed = rows.groupBy("gl", "g", "ranged", "le").agg(F.sum("v").alias("v"))
+        summed = summed.withColumn("v", F.when(F.col("ranged"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).otherwise(F.col("v"))).withColumn("last", F.lead("le").over(w).isNull())
+        # the last range is followed by the bucket of everything
+        top = F.col("ranged") & F.col("last") & (F.col("le") < INF)
+        les = F.when(top, F.array(F.col("le"), F.lit(INF))).otherwise(F.array("le"))
+        return summed.select("gl", "g", F.explode(les).alias("le"), "v")
 
     def quantile_of(self, phi: float) -> Column:
         b = F.col("b")

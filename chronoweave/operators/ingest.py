@@ -79,8 +79,9 @@ def accepted(rows: DataFrame, by: str = "lk", interval: str = "dedupe_ms", seq:
     return ordered.mapInArrow(run, rows.schema)
 
 
-def append(series: DataFrame, samples: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """batch: series_id, ts_ms, value, seq. Returns (samples after it, status of each row of the batch).
+def append(series: DataFrame, samples: DataFrame, batch: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """batch: series_id, ts_ms, value, seq. Returns (samples after it, status of each row of the batch). samples may
+    be only those of the days that the batch touches if ``last`` (series_id, last_ts) says where each series ends.
 
     Rows of unknown series, older than retention, within the dedupe interval, or duplicates under ``block`` don't get
     in and say so in ``status``; the others' values are rounded to the series' significant digits and merged by its
@@ -88,7 +89,7 @@ def append(series: DataFrame, samples: DataFrame, batch: DataFrame) -> tuple[Dat
     policy = series.select("series_id", F.coalesce("dup_policy", F.lit("last")).alias("policy"), F.coalesce("retention_ms", F.lit(0)).alias("retention_ms"), F.coalesce("dedupe_ms", F.lit(0)).alias("dedupe_ms"), F.coalesce("sig_digits", F.lit(0)).alias("sig_digits"))
     touched = batch.select("series_id").distinct()
     mine = samples.join(touched, "series_id", "left_semi")
-    last = mine.groupBy("series_id").agg(F.max("ts_ms").alias("last_ts"))
+    last = last if last is not None else mine.groupBy("series_id").agg(F.max("ts_ms").alias("last_ts"))
     newest = batch.groupBy("series_id").agg(F.max("ts_ms").alias("batch_ts")).join(last, "series_id", "left").select("series_id", F.greatest("batch_ts", "last_ts").alias("newest"), "last_ts")
     rows = batch.join(policy, "series_id", "left").join(newest, "series_id", "left")
     old = (F.col("retention_ms") > 0) & (F.col("ts_ms") < F.greatest(F.col("newest") - F.col("retention_ms"), F.lit(0)))

@@ -88,9 +88,23 @@ def match(m: Matcher, value: Column) -> Column:
     return ~test if m.op in ("!=", "!~") else test
 
 
-def predicate(selectors: Sequence[Selector], label: Callable[[str], Column]) -> Column:
-    """Series that any of the selectors picks; none if there is no selector."""
-    groups = [reduce(lambda a, b: a & b, [match(m, label(m.name)) for m in g], F.lit(True)) for s in selectors for g in s.groups]
+def takes_empty(m: Matcher) -> bool:
+    """Whether a series without the label passes."""
+    if m.op in ("=", "!="):
+        return (m.value == "") == (m.op == "=")
+    return bool(re.fullmatch(m.value, "")) == (m.op == "=~")
+
+
+def predicate(selectors: Sequence[Selector], label: Callable[[str], Column], stored: Callable[[str], Column | None] = lambda n: None) -> Column:
+    """Series that any of the selectors picks; none if there is no selector. label: a label's value, '' if there is
+    none. stored: the column that holds it, with NULL for none; matchers that a missing label fails are tests on
+    it, so that they reach the scan's own filters."""
+
+    def test(m: Matcher) -> Column:
+        raw = stored(m.name) if m.op in ("=", "=~") and not takes_empty(m) else None
+        return match(m, label(m.name) if raw is None else raw)
+
+    groups = [reduce(lambda a, b: a & b, [test(m) for m in g], F.lit(True)) for s in selectors for g in s.groups]
     return reduce(lambda a, b: a | b, groups) if groups else F.lit(False)
 
 

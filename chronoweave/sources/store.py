@@ -1,19 +1,24 @@
-"""Stored series and samples as Parquet, samples by day; snapshots, incremental appends and compaction."""
+"""Stored series and samples as Parquet: samples by day, a small table of what each day holds of each series, and
+versions of the table of series. A change rewrites the days it touches and no other."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import NAME, SAMPLES, SERIES, map_key
+from ..operators import ingest
 from ..operators.selectors import Selector, predicate
 
 DAY_MS = 86_400_000
 #: Selected series up to this number are broadcast to the scan of samples; more go through a shuffle join.
 BROADCAST_SERIES = 200_000
+SPANS = "series_id bigint, n bigint, first_ts bigint, last_ts bigint, last_value double"
+BATCH = SAMPLES + ", seq bigint"
 
 
 def with_identity(series: DataFrame) -> DataFrame:
@@ -22,15 +27,31 @@ def with_identity(series: DataFrame) -> DataFrame:
     return series.withColumn("lk", map_key(named))
 
 
+def label_of(name: str) -> Column:
+    """A label of a row of the table of series, '' if there is none."""
+    return F.coalesce(F.col("metric") if name == NAME else F.try_element_at("labels", F.lit(name)), F.lit(""))
+
+
+def day_of(ts: Column) -> Column:
+    return F.floor(ts / DAY_MS).cast("bigint")
+
+
+def spans_of(samples: DataFrame, *by: str) -> DataFrame:
+    return samples.groupBy("series_id", *by).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.max_by("value", "ts_ms").alias("last_value"))
+
+
 @dataclass
 class StoreSource:
+    """What the planner reads. spans_df: (series_id, n, first_ts, last_ts) of each series, or of parts of it; without
+    it they are counted in the samples."""
+
     series_df: DataFrame
     samples_df: DataFrame
     db: int = 0
+    spans_df: DataFrame | None = None
 
     def selected(self, selectors: Sequence[Selector]) -> DataFrame:
-        label = lambda n: F.coalesce(F.col("metric") if n == NAME else F.try_element_at("labels", F.lit(n)), F.lit(""))
-        return self.series_df.where(F.col("db") == self.db).where(predicate(selectors, label))
+        return self.series_df.where(F.col("db") == self.db).where(predicate(selectors, label_of, lambda n: F.col("metric") if n == NAME else None))
 
     def scan(self, selectors: Sequence[Selector], start: int, end: int, keep: Sequence[str] | None = None) -> DataFrame:
         chosen = with_identity(self.selected(selectors)).select("series_id", "lk")
@@ -42,37 +63,141 @@ class StoreSource:
             chosen = F.broadcast(chosen)
         return samples.join(chosen, "series_id").select("lk", "ts_ms", "value")
 
+    def spans(self) -> DataFrame:
+        parts = self.spans_df if self.spans_df is not None else spans_of(self.samples_df)
+        return parts.groupBy("series_id").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max_by("last_value", "last_ts").alias("last_value"))
+
     def series(self) -> DataFrame:
-        spans = self.samples_df.groupBy("series_id").agg(F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.count("*").alias("n"))
-        return with_identity(self.series_df.where(F.col("db") == self.db)).join(spans, "series_id", "left").select("lk", "first_ts", "last_ts", F.coalesce("n", F.lit(0)).alias("n"))
+        named = with_identity(self.series_df.where(F.col("db") == self.db))
+        return named.join(self.spans(), "series_id", "left").select("lk", "first_ts", "last_ts", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 class SeriesStore:
-    """A folder with ``series`` and ``samples``; samples are partitioned by day and sorted by series and time, so a
-    range reads few files and few row groups."""
+    """A folder with ``series/v=N`` (the highest finished N counts), ``samples/day=D`` sorted by series and time, so
+    that a range reads few files and few row groups, and ``spans/day=D`` with counts and bounds. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        if self.version() < 0:
+            self.save(spark.createDataFrame([], SERIES), spark.createDataFrame([], SAMPLES))
 
-    def save(self, series: DataFrame, samples: DataFrame) -> None:
-        series.write.mode("overwrite").parquet(f"{self.path}/series")
-        self._by_day(samples).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{self.path}/samples")
+    # ---- files
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _by_day(self, samples: DataFrame) -> DataFrame:
-        days = samples.select("series_id", "ts_ms", "value").withColumn("day", F.floor(F.col("ts_ms") / DAY_MS).cast("bigint"))
-        # a range split, not a hash by day: a busy day is spread over several files
-        return days.repartitionByRange("day", "series_id", "ts_ms").sortWithinPartitions("day", "series_id", "ts_ms")
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
+    def _delete(self, folder: str) -> None:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        fs.delete(p, True)
+
+    def _versions(self) -> list[int]:
+        done = lambda n: (lambda fs, p: fs.exists(p))(*self._fs(f"{self.path}/series/{n}/_SUCCESS"))
+        return sorted(int(n[2:]) for n in self._names("series") if n.startswith("v=") and done(n))
+
+    def version(self) -> int:
+        return max(self._versions(), default=-1)
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """Written beside the tables and read again, so that a table can be overwritten by what was read from it."""
+        at = f"{self.path}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def clear_staging(self) -> None:
+        self._delete("staging")
+
+    # ---- tables
     def series(self) -> DataFrame:
-        return self.spark.read.schema(SERIES).parquet(f"{self.path}/series")
+        return self.spark.read.schema(SERIES).parquet(f"{self.path}/series/v={self.version()}")
 
     def samples(self) -> DataFrame:
         return self.spark.read.schema(SAMPLES + ", day bigint").parquet(f"{self.path}/samples")
 
+    def spans(self) -> DataFrame:
+        return self.spark.read.schema(SPANS + ", day bigint").parquet(f"{self.path}/spans")
+
     def source(self, db: int = 0) -> StoreSource:
-        return StoreSource(self.series(), self.samples(), db)
+        return StoreSource(self.series(), self.samples(), db, self.spans())
+
+    def save_series(self, series: DataFrame) -> None:
+        """A new version; the one before stays for those who read it."""
+        versions = self._versions()
+        n = max(versions, default=-1) + 1
+        series.select(*[c.split()[0] for c in SERIES.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/series/v={n}")
+        for old in versions[:-1]:
+            self._delete(f"series/v={old}")
 
-    def replace_days(self, samples: DataFrame) -> None:
-        """Overwrite the days that occur in ``samples`` and no other. ``samples`` must not be read from this store
-        lazily: write it elsewhere first (operators.ingest.append does)."""
-        self._by_day(samples).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/samples")
+    def save(self, series: DataFrame, samples: DataFrame) -> None:
+        """All of it: a snapshot. Neither may be read from this store."""
+        self.save_series(series)
+        for table in ("samples", "spans"):
+            self._delete(table)
+        self._write_days(samples)
+
+    def _write_days(self, samples: DataFrame) -> None:
+        days = samples.select("series_id", "ts_ms", "value").withColumn("day", day_of(F.col("ts_ms")))
+        # a range split, not a hash by day: a busy day is spread over several files
+        ordered = days.repartitionByRange("day", "series_id", "ts_ms").sortWithinPartitions("day", "series_id", "ts_ms")
+        for table, rows in (("samples", ordered), ("spans", spans_of(days, "day"))):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/{table}")
+
+    def replace_days(self, samples: DataFrame, days: Iterable[int]) -> None:
+        """``samples`` is all that these days hold from now on. Samples are staged first."""
+        staged = self.staged(samples.select("series_id", "ts_ms", "value"))
+        left = {r[0] for r in staged.select(day_of(F.col("ts_ms"))).distinct().toLocalIterator()}
+        self._write_days(staged)
+        for day in set(days) - left:
+            for table in ("samples", "spans"):
+                self._delete(f"{table}/day={day}")
+
+    def of_days(self, days: Iterable[int]) -> DataFrame:
+        return self.samples().where(F.col("day").isin(sorted(days))).select("series_id", "ts_ms", "value")
+
+    def days_between(self, start: int, end: int) -> list[int]:
+        """The stored days that a range touches, from the folders' names."""
+        have = [int(n[4:]) for n in self._names("samples") if n.startswith("day=")]
+        return sorted(d for d in have if start // DAY_MS <= d <= end // DAY_MS)
+
+    # ---- changes
+    def append(self, batch: DataFrame) -> DataFrame:
+        """batch: series_id, ts_ms, value, seq (order of arrival). Returns the status of each row, stored."""
+        batch = self.staged(batch.select("series_id", "ts_ms", "value", F.col("seq").cast("bigint").alias("seq")))
+        days = [r[0] for r in batch.select(day_of(F.col("ts_ms"))).distinct().toLocalIterator() if r[0] is not None]
+        last = self.spans().groupBy("series_id").agg(F.max("last_ts").alias("last_ts"))
+        after, status = ingest.append(self.series(), self.of_days(days), batch, last)
+        status = self.staged(status)
+        self.replace_days(after, days)
+        return status
+
+    def delete_range(self, ids: DataFrame, start: int, end: int) -> int:
+        """Samples of the series ``ids`` (series_id) in [start, end] go; the series stay. Returns how many went."""
+        days = self.days_between(start, end)
+        ids = self.staged(ids.select("series_id").distinct())
+        rows = self.of_days(days)
+        inside = F.col("ts_ms").between(start, end)
+        gone = rows.where(inside).join(ids, "series_id", "left_semi").count()
+        if gone:
+            self.replace_days(rows.where(~inside).unionByName(rows.where(inside).join(ids, "series_id", "left_anti")), days)
+        return gone
+
+    def delete_series(self, ids: DataFrame) -> int:
+        ids = self.staged(ids.select("series_id").distinct())
+        gone = self.series().join(ids, "series_id", "left_semi").count()
+        if gone:
+            days = [r[0] for r in self.spans().join(ids, "series_id", "left_semi").select("day").distinct().toLocalIterator()]
+            self.save_series(self.staged(self.series().join(ids, "series_id", "left_anti")))
+            self.replace_days(self.of_days(days).join(ids, "series_id", "left_anti"), days)
+        return gone
+
+    def compact(self, days: Iterable[int] | None = None) -> None:
+        """Rewrite days into few sorted files, without samples older than their series' retention."""
+        days = self.days_between(0, 1 << 60) if days is None else list(days)
+        newest = self.spans().groupBy("series_id").agg(F.max("last_ts").alias("newest"))
+        floors = self.series().where("retention_ms > 0").join(newest, "series_id").select("series_id", F.greatest(F.col("newest") - F.col("retention_ms"), F.lit(0)).alias("_floor"))
+        rows = self.of_days(days).join(floors, "series_id", "left").where(F.col("ts_ms") >= F.coalesce("_floor", F.lit(0)))
+        self.replace_days(rows, days)
+        self.clear_staging()

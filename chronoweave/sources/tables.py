@@ -34,7 +34,7 @@ class TableSource:
             # the stored column may be finer than ms: what truncates to ``end`` lies before end + 1
             df = df.where((F.col(self.stored_ts) >= at(max(start, -62_000_000_000_000))) & (F.col(self.stored_ts) < at(min(end + 1, 253_402_300_799_000))))
         absent = F.lit("")
-        df = df.where(predicate(selectors, lambda n: F.coalesce(self.labels[n].cast("string"), F.lit("")) if n in self.labels else absent))
+        df = df.where(predicate(selectors, lambda n: F.coalesce(self.labels[n].cast("string"), F.lit("")) if n in self.labels else absent, self.labels.get))
         labels = {n: c for n, c in self.labels.items() if keep is None or n in keep}
         return df.select(labels_key(labels).alias("lk"), self.ts_ms.alias("ts_ms"), self.value.cast("double").alias("value")).where(F.col("ts_ms").between(start, end))
 

@@ -52,14 +52,16 @@ class MergeAutomaton:
         self.labels, self.ids = labels, {}
         self.left, self.right, self.time = list(range(n)), list(range(n)), [0] * n
         self.gone: dict[tuple[int, int], int] = {}
-        made = set()
+        made = {t for t, label in enumerate(labels) if len(label) == 1}
         for k, (u, v, w) in enumerate(merges, 1):
+            if u not in made or v not in made or not self._resolve(u, v):
+                continue  # earlier merges have taken this arc away, so no word ever gets here
             self.gone[u, v] = k  # the arc v of the state of u goes away at this time
             if w not in made:
                 made.add(w)
                 self.left[w], self.right[w], self.time[w] = u, v, k
         for t, label in enumerate(labels):
-            if label and (len(label) == 1 or t in made):
+            if label and t in made:
                 self.ids.setdefault(label, t)
         #: Labels and their beginnings: the token, or -1 if only longer labels begin so. shorter: the next shorter label.
         self.trie = {label[:k]: -1 for label in self.ids for k in range(1, len(label))} | self.ids

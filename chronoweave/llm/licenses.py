@@ -100,13 +100,17 @@ def _spans(hits: DataFrame, id_col: str) -> DataFrame:
     merged = (
         diagonals.withColumn("span", F.sum(new.cast("int")).over(of))
         .groupBy(id_col, "template", "label", "exact", "size", "span")
-        .agg(F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"),
+            F.min(F.col("diagonal") + F.array_min("votes")).alias("first"),
+            F.max(F.col("diagonal") + F.array_max("votes") + K - 1).alias("last"),
+        )
     )
     share = F.size("votes") / F.col("size")
     return merged.where(F.when(F.col("exact"), share == 1).otherwise(share >= COVER)).select(
         id_col, "template", "label", "exact",
-        F.when(F.col("exact"), F.col("low")).otherwise(F.col("low") + F.array_min("votes")).cast("long").alias("first"),
-        (F.col("high") + F.array_max("votes") + K - 1).cast("long").alias("last"),
+        F.col("first").cast("long").alias("first"),
+        F.col("last").cast("long").alias("last"),
         share.alias("score"),
     )
 

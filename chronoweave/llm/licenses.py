@@ -138,3 +138,29 @@ def report(df: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Temp
 
 def query(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+def _oracle(templates: tuple[Template, ...] = BASE + NOTICES, base: int = len(BASE)) -> str:
+    """The same rows by SQL, with the words themselves in place of their hashes."""
+    rows = ", ".join(f"({k}, '{t.label}', {t.exact}, '{t.text}')" for k, t in enumerate(templates))
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+t AS (SELECT template, label, exact, string_split(phrase, ' ') AS p FROM (VALUES {rows}) AS v(template, label, exact, phrase)),
+tg AS (SELECT template, label, exact, len(p) - {K} + 1 AS size, i - 1 AS tpos, array_to_string(p[i:i + {K} - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(p) - {K} + 2)) AS i FROM t)),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + {K} - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {K} + 2)) AS i FROM d)),
+diagonals AS (SELECT doc_id, template, label, exact, size, pos - tpos AS diagonal, list(DISTINCT tpos) AS votes FROM dg JOIN tg USING (g) GROUP BY ALL),
+marked AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER o > {NEAR}, true) AS fresh FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+spanned AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
+merged AS (SELECT doc_id, template, label, exact, size, len(list_distinct(flatten(list(votes)))) AS n, min(diagonal + list_min(votes)) AS first
+  FROM spanned GROUP BY doc_id, template, label, exact, size, span),
+spans AS (SELECT *, n / size AS share FROM merged WHERE n >= CASE WHEN exact THEN size ELSE {COVER} * size END)
+SELECT d.doc_id, len(any_value(w)) AS n_words, count(*) FILTER (template < {base}) AS n_base,
+  min(first) FILTER (template < {base}) AS first_word, max(first) FILTER (template < {base}) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (template < {base}), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE = _oracle()

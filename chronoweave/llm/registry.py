@@ -18,5 +18,6 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES: dict[str, str] = {
+    "op6_license_scan": licenses.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -145,9 +145,11 @@ promql(
     windowed(WHERE + " AND value > 0", D, f"SELECT usr, {VMRANGE} AS vmrange, g AS ts_ms, count(*) AS value FROM w GROUP BY ALL"),
     labels=("user", "vmrange"),
 )
-# ordered folds have no plain SQL; tests compare them with a loop
-promql("q_roll_holt_winters", f"holt_winters(purchase[{D}d], 0.4, 0.3)", None)
-promql("q_roll_double_exponential_smoothing", f"double_exponential_smoothing(purchase[{D}d], 0.4, 0.3)", None)
+# double exponential smoothing is a fold over the values in order: level s, trend b
+_FOLD = """SELECT usr, g AS ts_ms, list_reduce(list_transform(l[2:], lambda x: {'s': x, 'b': 0.0::DOUBLE}), lambda a, e: {'s': 0.4 * e.s + 0.6 * (a.s + a.b),
+'b': 0.3 * (0.4 * e.s + 0.6 * (a.s + a.b) - a.s) + 0.7 * a.b}, {'s': l[1], 'b': coalesce(l[2], l[1]) - l[1]}).s AS value FROM (SELECT usr, g, list(v ORDER BY t) AS l FROM w GROUP BY usr, g)"""
+for _f in ("holt_winters", "double_exponential_smoothing"):
+    promql(f"q_roll_{_f}", f"{_f}(purchase[{D}d], 0.4, 0.3)", windowed(WHERE, D, _FOLD))
 # windows that summarise several metrics keep their names apart
 promql(
     "q_roll_many_metrics", '{__name__=~"click|view"}[2d]',

@@ -85,7 +85,7 @@ q(
 )
 for _f in ("sort", "sort_desc", "sort_by_label", "sort_by_label_desc", "sort_by_label_numeric", "sort_by_label_numeric_desc"):
     q(f"q_fn_{_f}", f"{_f}({CLICK}{', ' + chr(34) + 'user' + chr(34) if 'label' in _f else ''})", "SELECT usr, g AS ts_ms, v AS value FROM x")
-promql("q_fn_smooth_exponential", f"smooth_exponential({CLICK}, 0.3)", None)
+q("q_fn_smooth_exponential", f"smooth_exponential({CLICK}, 0.3)", f"SELECT usr, g AS ts_ms, list_reduce(list(v) {_W}, lambda a, e: 0.3 * e + 0.7 * a) AS value FROM x")
 for _f in ("rand", "rand_normal", "rand_exponential"):
     promql(f"q_fn_{_f}", f"{_f}(7)", None, ())
 
@@ -117,7 +117,14 @@ promql(
     SELECT CASE WHEN le = floor(le) THEN le::BIGINT::VARCHAR ELSE le::VARCHAR END AS le, g AS ts_ms, n AS value FROM c UNION ALL SELECT '+Inf', g, sum(n) FROM e GROUP BY g"""),
     ("le",),
 )
-promql("q_fn_buckets_limit", f"buckets_limit(3, {HISTOGRAM})", None, ("le",))
+promql(
+    "q_fn_buckets_limit", f"buckets_limit(3, {HISTOGRAM})",
+    last_values(WHERE, 2, _H + """, e AS (SELECT g, e.le AS le, e.v AS v FROM (SELECT g, unnest(b) AS e FROM b)), tot AS (SELECT le, sum(v) AS n FROM e GROUP BY le),
+    o AS (SELECT le, n - coalesce(lag(n) OVER (ORDER BY le), 0) AS hits, row_number() OVER (ORDER BY le) = 1 OR lead(le) OVER (ORDER BY le) IS NULL AS edge FROM tot),
+    k AS (SELECT le FROM o ORDER BY edge DESC, hits DESC, le LIMIT 3)
+    SELECT CASE WHEN le = 'inf'::DOUBLE THEN '+Inf' ELSE le::BIGINT::VARCHAR END AS le, g AS ts_ms, v AS value FROM e SEMI JOIN k USING (le)"""),
+    ("le",),
+)
 
 # ---- label functions
 LABELS = {

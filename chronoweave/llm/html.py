@@ -8,7 +8,8 @@ that articles quote or copy, which belong to the text, so differencing isn't use
 Pages without such a mark are differenced: pages of a host lie in the order of their URL paths, each is paired with
 the neighbour whose path shares more with its own, the two line lists are aligned by longest common subsequence, and
 lines in it are deleted as the site's template. The order comes from a range sort, so a host of any size is spread
-over tasks; neighbours are found while a task streams its rows.
+over tasks. Places in it are cut into blocks, and a block also gets the page before and the page behind it, so the
+result doesn't depend on how the rows were dealt out.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
+#: Pages in a row that one group of a task compares.
+BLOCK_PAGES = 500
 MARKED = r"(?i)<(article|main)[\s/>]"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -145,28 +148,51 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 def _differenced(rows):
-    """rows: (page_id, url, host, path, lines) in order of host and path. Yields (page_id, url, text)."""
+    """rows: (block, own, page_id, url, host, path, lines) in order of block and place. Yields (page_id, url, text) of
+    the block's own pages."""
     before = current = None
 
     def done(row, left, right):
-        near = [x for x in (left, right) if x is not None and x[2] == row[2]]
-        other = max(near, key=lambda x: shared_prefix(x[3], row[3]), default=None)
-        gone = common_lines(row[4], other[4]) if other else ()
-        return row[0], row[1], "\n".join(line for k, line in enumerate(row[4]) if k not in gone)
+        near = [x for x in (left, right) if x is not None and (x[0], x[4]) == (row[0], row[4])]
+        other = max(near, key=lambda x: shared_prefix(x[5], row[5]), default=None)
+        gone = common_lines(row[6], other[6]) if other else ()
+        return row[2], row[3], "\n".join(line for k, line in enumerate(row[6]) if k not in gone)
 
     for row in rows:
-        if current is not None:
+        if current is not None and current[1]:
             yield done(current, before, row)
         before, current = current, row
-    if current is not None:
+    if current is not None and current[1]:
         yield done(current, before, None)
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows: page_id, url, host, path, lines. Adds block and own, sorted by block and place: each page in its block,
+    and the pages at a block's ends once more in the next one, there as context only."""
+    keys = ["host", "path", "page_id"]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed, "places")
+    part = F.shiftright("at", 33)
+    # a count for each partition of the sort, so there are as many numbers as partitions
+    counts, offsets, n = dict(placed.groupBy(part).count().collect()), [], 0
+    for k in sorted(counts):
+        offsets.append((k, n))
+        n += counts[k]
+    starts = rows.sparkSession.createDataFrame(offsets, "part bigint, start bigint")
+    place = F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)
+    ranked = placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("place", place)
+    block, size = F.floor(F.col("place") / BLOCK_PAGES), F.lit(BLOCK_PAGES)
+    at = lambda b, own, ok: F.when(ok, F.struct(b.alias("block"), F.lit(own).alias("own")))
+    first, last = (F.col("place") % size == 0) & (block > 0), F.col("place") % size == size - 1
+    copies = F.array_compact(F.array(at(block, True, F.lit(True)), at(block - 1, False, first), at(block + 1, False, last)))
+    return ranked.select(F.inline(copies), "place", "page_id", "url", "host", "path", "lines").repartition("block").sortWithinPartitions("block", "place").drop("place")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each page.
 
     Defined results: a null or empty page has an empty text; a null url is a host of its own; a page alone on its
-    host, or alone in its task, keeps its lines; repeated rows of an unmarked page delete each other's lines and are
+    host keeps its lines; repeated rows of an unmarked page delete each other's lines and are
     therefore differenced once each; columns beside these three aren't read."""
     kind = pages.schema[id_col].dataType.simpleString()
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
@@ -192,26 +218,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def differ(it):
         import pyarrow as pa
 
-        rows = (tuple(b.column(c)[k].as_py() for c in range(5)) for b in it for k in range(b.num_rows))
+        rows = (tuple(b.column(c)[k].as_py() for c in range(7)) for b in it for k in range(b.num_rows))
         out = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], schema.types[c]) for c in range(3)], schema=schema)
+
         for row in _differenced(rows):
             out.append(row)
-            if len(out) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
+            if len(out) == BLOCK_PAGES:
+                yield batch()
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], schema.types[c]) for c in range(3)], schema=schema)
+            yield batch()
 
-    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    schema = pa.schema([("page_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("url", pa.string()), ("text", pa.string())])
+    schema = to_arrow_schema(StructType([*pages.schema.fields[:2], *StructType.fromDDL("text string").fields]))
     direct = pages.where(marked).mapInArrow(read, f"page_id {kind}, url string, text string")
     place = F.coalesce(F.col("url"), F.lit(""))
     rest = pages.where(~marked).mapInArrow(lines, f"page_id {kind}, url string, lines array<string>")
     rest = rest.select("page_id", "url", F.lower(F.regexp_extract(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"), F.regexp_replace(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|[?#].*$", "").alias("path"), "lines")
     rest = materialize(rest, "lines")  # the range sort samples it
-    sorted_ = rest.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    diffed = sorted_.mapInArrow(differ, f"page_id {kind}, url string, text string")
+    diffed = _in_blocks(rest).select("block", "own", "page_id", "url", "host", "path", "lines").mapInArrow(differ, f"page_id {kind}, url string, text string")
     return direct.union(diffed).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

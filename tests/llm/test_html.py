@@ -55,6 +55,25 @@ def test_template_lines_go(spark):
     assert got[10]["url"] == "https://other.example/x" and got[10]["n_chars"] == 22
 
 
+@pytest.mark.parametrize("block", [500, 3, 2, 1])
+def test_neighbours_don_t_depend_on_blocks(spark, monkeypatch, block):
+    """Each page against the nearer of its two neighbours in the order of all pages."""
+    import random
+
+    monkeypatch.setattr(html, "BLOCK_PAGES", block)
+    rng = random.Random(4)
+    rows = [(k, f"http://h{k % 3}.example/{rng.choice('ab')}/{rng.choice('cd')}/{k}", page(*[rng.choice("uvwxyz") * 3 for _ in range(6)])) for k in range(40)]
+    ordered = sorted((u.split("/")[2], "/" + "/".join(u.split("/")[3:]), k, [x for x, _ in html.blocks(h)]) for k, u, h in rows)
+    want = {}
+    for i, (host, path, k, lines) in enumerate(ordered):
+        near = [ordered[j] for j in (i - 1, i + 1) if 0 <= j < len(ordered) and ordered[j][0] == host]
+        other = max(near, key=lambda x: html.shared_prefix(x[1], path))
+        gone = html.common_lines(lines, other[3])
+        want[k] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)
+    assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want
+
+
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x", "y")], "page_id bigint, url string, html string, text string, host string")
     assert [tuple(r) for r in html.extract(df).collect()] == [(1, "u", "a", 1)]

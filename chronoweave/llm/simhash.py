@@ -1,7 +1,7 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into SEGMENTS segments. Two fingerprints with at most DISTANCE differing bits differ in at most
-``DISTANCE // SEGMENTS`` bits of one segment, so each fingerprint looks up the small Hamming ball around each of its
+A fingerprint is cut into segments. Two fingerprints with at most DISTANCE differing bits differ in at most
+``DISTANCE // segments`` bits of one segment, so each fingerprint looks up the small Hamming ball around each of its
 segments in the table of all segments, and whole distances are verified inside the join. Equal fingerprints are one
 class from the start, so a group of copies costs one row.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import grouped_texts, materialize, table, utf8
 from .components import components
 
-SHINGLE, DISTANCE, SEGMENTS, SEED = 4, 4, 3, 42
+SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: From so many different fingerprints on two segments are cheaper than three: balls grow, but fewer others fall in.
+TWO_SEGMENTS_FROM = 1 << 28
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -59,7 +61,7 @@ def signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, segments: int = 3) -> DataFrame:
     """fps: distinct (fp, node). Pairs (u, v) of nodes whose fingerprints differ in at most ``distance`` bits, each
     pair once: it is taken in the first segment that is close enough."""
     bounds = [64 * k // segments for k in range(segments + 1)]
@@ -80,13 +82,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
     return probes.join(stored.hint("shuffle_hash"), ["seg", "key"]).where((F.col("fp") < F.col("fp2")) & (F.bit_count(x) <= distance) & first).select(F.col("node").alias("u"), F.col("node2").alias("v"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """id, fp, component_id (the least id reachable over links, itself included) for each row.
 
     Defined results: null and empty texts have fingerprint 0 and are linked like any others; equal fingerprints are
     always linked; rows that repeat an id give one row each; other columns aren't read. Ids are integers."""
     rows = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
+    segments = segments or (2 if fps.count() >= TWO_SEGMENTS_FROM else 3)  # any number finds the same links
     stars = components(links(fps, distance, segments))
     of = fps.join(stars, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"))
     return rows.join(of, "fp").select(id_col, "fp", "component_id")

@@ -63,3 +63,11 @@ def test_against_all_pairs(spark, prose):
     want = brute.simhash(rows, 5, 5)
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
     assert len(set(c for _, c in want.values())) < 90
+
+
+def test_two_segments_find_the_same(spark, prose, monkeypatch):
+    rows = [(i, prose(i // 3, 60) + " more" * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in simhash.near_duplicates(df).collect())
+    monkeypatch.setattr(simhash, "TWO_SEGMENTS_FROM", 1)
+    assert sorted(tuple(r) for r in simhash.near_duplicates(df).collect()) == want

@@ -30,9 +30,13 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(c, F.lit(""))), SPLIT), "")
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast if the counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def windows(tests: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -46,7 +50,9 @@ def term_counts(docs: DataFrame, wins: DataFrame, text_col: str = "text") -> Dat
     """term, n: occurrences of each test word in all texts."""
     terms = wins.select(F.explode("win").alias("word")).distinct().select(F.xxhash64("word").alias("term")).distinct()
     each = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).select(F.xxhash64("word").alias("term"))
-    return each.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    if is_small(terms):
+        return each.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")  # the scan's combine comes before the shuffle
 
 
 def keyed(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -64,10 +70,16 @@ def build_index(docs: DataFrame, terms: DataFrame, reach: int = WINDOW - 1, id_c
     """doc_id, pos, term, near (the words from ``reach`` before to ``reach`` behind), at (the word's place in near);
     stored in the shared folder. Each text also has a row with the term of END, whose pos is its number of words."""
     end = F.xxhash64(F.lit(END))
-    wanted = small(terms.select("term").union(terms.sparkSession.range(1).select(end.alias("term"))).distinct())
-    each = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("w")).select(id_col, "w", F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word"))
+    wanted = terms.select("term").union(terms.sparkSession.range(1).select(end.alias("term"))).distinct()
+    texts = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("w"))
+    every = F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word")
+    if is_small(wanted):
+        found = texts.select(id_col, "w", every).withColumn("term", F.xxhash64("word")).join(F.broadcast(wanted), "term")
+    else:  # only ids, positions and hashes are shuffled; they go back to their texts as one list a document
+        places = texts.select(id_col, every).select(id_col, "pos", F.xxhash64("word").alias("term")).join(wanted, "term")
+        lists = places.groupBy(id_col).agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+        found = texts.join(lists, id_col).select(id_col, "w", F.inline("places")).where(F.col("pos") <= F.size("w"))
     low = F.greatest(F.col("pos") - reach, F.lit(0))
-    found = each.withColumn("term", F.xxhash64("word")).join(wanted, "term")
     near = F.when(F.col("term") == end, F.array().cast("array<string>")).otherwise(F.slice("w", low + 1, F.lit(2 * reach + 1)))
     return materialize(found.select(id_col, "pos", "term", near.alias("near"), (F.col("pos") - low).alias("at")), "postings")
 

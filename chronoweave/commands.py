@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 
 from .engine import Engine, SeriesOptions
-from .functions.arguments import LATEST, LOOKBACK_MS, human_duration, parse_chunk_size, parse_duration, parse_integer, parse_number_with_unit, parse_timestamp
+from .functions.arguments import LATEST, LOOKBACK_MS, human_duration, parse_chunk_size, parse_duration, parse_integer, parse_number_with_unit, parse_timestamp, range_bounds
 from .operators import metadata
 from .operators.buckets import Aggregation
 from .operators.oplog import MAX_LIFETIME_MS, TOP_K
 from .operators.results import array_success, matrix_json, success, vector_json
+from .operators.scan import overlapping
 
 #: Spellings that mean the same command.
 ALIASES = {"CREATE": "CREATE-SERIES", "ALTER": "ALTER-SERIES", "LABELS": "LABEL-NAMES", "DELETE-KEY-RANGE": "DELETE-KEY_RANGE", "LABEL_VALUES": "LABEL-VALUES", "INFO": "SERIES-INFO"}
@@ -64,6 +65,7 @@ class Matching:
     limit: int | None = None
 
 
+#: Words that end a list of selectors.
 _BOUNDS = frozenset(["START", "END", "LIMIT", "MATCH"])
 _RANGE_WORDS = frozenset(["ALIGN", "FILTER_BY_VALUE", "FILTER_BY_TS", "AGGREGATION", "COUNT", "EMPTY", "BUCKETTIMESTAMP"])
 
@@ -132,6 +134,7 @@ class Commands:
                 if not more:
                     raise CommandError("a selector is missing")
                 out.selectors += more
+        out.start, out.end = range_bounds(out.start, out.end, self.engine.clock())  # the last five minutes unless given
         return out
 
     def _matched(self, m: Matching):
@@ -267,13 +270,13 @@ class Commands:
 
     def c_label_names(self, a: Arguments) -> dict:
         m = self._matching(a)
-        got = self._matched(m) if m.selectors else self.engine.spans()
+        got = self._matched(m) if m.selectors else overlapping(self.engine.spans(), m.start, m.end)
         return array_success(r[0] for r in metadata.label_names(got, m.limit).orderBy("name").collect())
 
     def c_label_values(self, a: Arguments) -> dict:
         name = a.next("the label")
         m = self._matching(a)
-        got = self._matched(m) if m.selectors else self.engine.matching([f'{{{name}!=""}}'], m.start, m.end)
+        got = self._matched(m) if m.selectors else overlapping(self.engine.spans(), m.start, m.end)
         return array_success(r[0] for r in metadata.label_values(got, name, m.limit).orderBy("value").toLocalIterator())
 
     def c_stats(self, a: Arguments) -> dict:
@@ -301,7 +304,7 @@ class Commands:
         m = self._matching(a)
         if not m.selectors:
             raise CommandError("at least one selector is needed")
-        return self.engine.delete_range(m.selectors, 0 if m.start is None else m.start, LATEST if m.end is None else m.end)
+        return self.engine.delete_range(m.selectors, m.start, m.end)
 
     def c_delete_key_range(self, a: Arguments) -> int:
         key = a.next("the key")

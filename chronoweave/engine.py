@@ -16,6 +16,7 @@ from .model import NAME, SERIES
 from .operators import metadata
 from .operators.buckets import range_query
 from .operators.oplog import QueryLog, ResultCache
+from .operators.scan import overlapping
 from .operators.selectors import Selector
 from .plans import planner
 from .plans.parser import parse_selector
@@ -225,10 +226,13 @@ class Engine:
         return self.store.source(self.db).series()
 
     def matching(self, selectors: Sequence[str | Selector], start: int | None = None, end: int | None = None) -> DataFrame:
+        """Matching series with a sample in [start, end] (without bounds: all). That no series matches at all is an
+        error; that none has samples there isn't."""
         parsed = [s if isinstance(s, Selector) else parse_selector(s) for s in selectors]
-        if start is not None or end is not None:
-            start, end = start if start is not None else 0, end if end is not None else LATEST
-        return metadata.require(metadata.matching(self.spans(), parsed, start, end))
+        found = metadata.require(metadata.matching(self.spans(), parsed))
+        if start is None and end is None:
+            return found
+        return overlapping(found, 0 if start is None else start, LATEST if end is None else end)
 
     def info(self, key: str) -> dict:
         row = self._row(key)
@@ -256,8 +260,9 @@ class Engine:
     def delete_range(self, selectors: Iterable[str], start: int = 0, end: int = LATEST) -> int:
         if start > end:
             raise ValueError("start must not be after end")
+        ids = metadata.require(self._ids(selectors))
         self._changes += 1
-        return self.store.delete_range(self._ids(selectors), start, end)
+        return self.store.delete_range(ids, start, end)
 
     def delete_key_range(self, key: str, start: int, end: int) -> int:
         if start > end:
@@ -267,7 +272,7 @@ class Engine:
         return self.store.delete_range(self.series().where(F.col("series_id") == row["series_id"]), start, end)
 
     def delete_series(self, selectors: Iterable[str]) -> int:
-        return self.delete_ids(self._ids(selectors))
+        return self.delete_ids(metadata.require(self._ids(selectors)))
 
     def delete_keys(self, *keys: str) -> int:
         return self.delete_ids(self.series().where(F.col("key").isin(list(keys))).select("series_id"))

@@ -69,8 +69,13 @@ def test_metadata(run):
     assert run("SERIES", "MATCH", sel)["data"] == [{"__name__": "temperature", "area_id": "3", "region": r} for r in ("east", "west")]
     assert run("SERIES", "MATCH", sel, "temperature{area_id='4'}", "LIMIT", 1)["data"][0]["area_id"] == "3"
     assert run("CARDINALITY", "START", NOW - 60_000, "END", NOW, "MATCH", "temperature") == 3
+    assert run("CARDINALITY", "MATCH", "temperature", "START", 0, "END", 1) == 0
     with pytest.raises(NoSeries):
-        run("CARDINALITY", "MATCH", "temperature", "START", 0, "END", 1)
+        run("CARDINALITY", "MATCH", "nosuch")
+    with pytest.raises(NoSeries):
+        run("DELETE-RANGE", "nosuch")
+    with pytest.raises(ValueError):
+        run("SERIES", "MATCH", "temperature", "START", NOW + 1)
     assert run("LABELS", "MATCH", sel)["data"] == ["__name__", "area_id", "region"]
     assert run("LABEL-VALUES", "region")["data"] == ["east", "west"]
     assert run("LABEL_VALUES", "region", "MATCH", 'temperature{area_id="4"}')["data"] == ["east"]
@@ -102,7 +107,7 @@ def test_alter_info_and_add(spark, tmp_path):
     assert other.create_series("k2", SeriesOptions(metric="m", labels={"a": "2", "b": "3"})) and other.get("k2") is None
     e.snapshot(str(tmp_path / "copy"))
     assert run("DELETE-KEY-RANGE", "k2", "-", NOW) == 1 and run("RANGE", "k2", "-", "+") == [(NOW + 20_000, 2.0)]
-    assert run("DELETE-RANGE", "m", "START", NOW + 20_000) == 2 and run("GET", "k2") == []  # the copy has the same labels
+    assert run("DELETE-RANGE", "m", "START", NOW + 20_000, "END", NOW + 20_000) == 2 and run("GET", "k2") == []  # the copy has the same labels
     e.restore(str(tmp_path / "copy"))
     assert len(run("RANGE", "k2", "-", "+")) == 2
     assert run("DELETE-SERIES", "m{a='2'}") >= 1 and not e.exists("k2")

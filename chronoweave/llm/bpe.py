@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import DataFrame
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import grouped_texts, utf8
 
 #: Words kept with their codes in each Python worker; twice as many at most.
-KEPT_WORDS = 300_000
-KEPT_ARCS = 400_000
+KEPT_WORDS = 150_000
+KEPT_ARCS = 250_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -41,8 +42,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-#: Of a word: its codes as text, their number, the bytes they decode to, the codes as 32-bit integers.
-Word = tuple[str, int, bytes, bytes]
+#: Of a word: its codes as text, their number, the bytes they decode to.
+Word = tuple[str, int, bytes]
 
 
 class MergeAutomaton:
@@ -68,15 +69,17 @@ class MergeAutomaton:
         self.shorter = [-1] * n
         for label, t in self.ids.items():
             self.shorter[t] = next((self.ids[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self.ids), -1)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.size = n
+        self.arcs: dict[int, bool] = {}  # by first token * size + second token
 
     def arc(self, t1: int, t2: int) -> bool:
         """Whether the state of token t1 has an arc t2."""
-        got = self.arcs.get((t1, t2))
+        key = t1 * self.size + t2
+        got = self.arcs.get(key)
         if got is None:
             if len(self.arcs) >= KEPT_ARCS:
                 self.arcs.clear()
-            got = self.arcs[t1, t2] = self._resolve(t1, t2)
+            got = self.arcs[key] = self._resolve(t1, t2)
         return got
 
     def _resolve(self, t1: int, t2: int) -> bool:
@@ -97,7 +100,7 @@ class MergeAutomaton:
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the only accepted path over the word: the longest arc first, then shorter ones; positions from
         which no path goes on are struck off, so the work is bounded by the word's length times the longest label."""
-        trie, arcs, arc, shorter, labels = self.trie.get, self.arcs.get, self.arc, self.shorter, self.labels
+        trie, arcs, arc, shorter, labels, size = self.trie.get, self.arcs.get, self.arc, self.shorter, self.labels, self.size
         n, path, starts, dead, at, last = len(word), [], [], set(), 0, -1
         t = -2
         while at < n:
@@ -108,7 +111,7 @@ class MergeAutomaton:
                         t = x
                     e += 1
             while t >= 0:
-                ok = True if last < 0 else arcs((last, t))
+                ok = True if last < 0 else arcs(last * size + t)
                 if arc(last, t) if ok is None else ok:
                     end = at + len(labels[t])
                     if end not in dead:
@@ -130,6 +133,30 @@ class MergeAutomaton:
         return b"".join([self.labels[t] for t in ids])
 
 
+class Words:
+    """What ``make`` gives for each word, kept in two generations: when the newer one is full, it becomes the older one,
+    and the older one goes."""
+
+    def __init__(self, make: Callable[[str], object]):
+        self.make, self.kept, self.older = make, {}, {}
+
+    def each(self, words: list[str]) -> list:
+        kept, missing = self.kept.get, self._missing
+        return [kept(w) or missing(w) for w in words]
+
+    def _missing(self, word: str):
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+            if len(word) > 64:
+                return got
+        if len(self.kept) >= KEPT_WORDS:
+            self.older = dict(self.kept)
+            self.kept.clear()
+        self.kept[word] = got
+        return got
+
+
 class BytePairCoder:
     """A byte-level BPE tokenizer read from a tokenizers JSON file.
 
@@ -158,44 +185,37 @@ class BytePairCoder:
             labels[t] = token.encode()
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.kept: dict[str, Word] = {}
-        self.older: dict[str, Word] = {}
+        self.words, self.codes = Words(self._word), Words(self._codes)
+
+    def _codes(self, word: str) -> bytes:
+        return array("i", self.automaton.encode_word(utf8(word))).tobytes()
 
     def _word(self, word: str) -> Word:
-        if (got := self.older.get(word)) is not None:
-            self._keep(word, got)
-            return got
         ids = self.automaton.encode_word(utf8(word))
-        got = ",".join(map(str, ids)), len(ids), self.automaton.decode(ids), array("i", ids).tobytes()
-        if len(word) <= 64:
-            self._keep(word, got)
-        return got
-
-    def _keep(self, word: str, got: Word) -> None:
-        """Two generations: when the newer one is full, it becomes the older one, and the older one goes."""
-        if len(self.kept) >= KEPT_WORDS:
-            self.older = dict(self.kept)
-            self.kept.clear()
-        self.kept[word] = got
+        return ",".join(map(str, ids)), len(ids), self.automaton.decode(ids)
 
-    def parts(self, text: str | None) -> list[Word]:
+    def _each(self, text: str | None, words: Words, added: Callable[[str, int], object]) -> list:
+        """What ``words`` has of each word of the text, and ``added`` of each added token in it."""
         if not text:
             return []
         if self.split and self.split.search(text):
             out, at = [], 0
             for m in self.split.finditer(text):
-                out += self.parts_plain(text[at : m.start()])
-                out.append((str(t := self.added[m[0]]), 1, self.automaton.labels[t], array("i", [t]).tobytes()))
+                out += words.each(self.pattern.findall(text[at : m.start()]))
+                out.append(added(m[0], self.added[m[0]]))
                 at = m.end()
-            return out + self.parts_plain(text[at:])
-        return self.parts_plain(text)
+            return out + words.each(self.pattern.findall(text[at:]))
+        return words.each(self.pattern.findall(text))
+
+    def parts(self, text: str | None) -> list[Word]:
+        return self._each(text, self.words, lambda token, t: (str(t), 1, self.automaton.labels[t]))
 
-    def parts_plain(self, text: str) -> list[Word]:
-        kept, word = self.kept, self._word
-        return [kept.get(w) or word(w) for w in self.pattern.findall(text)]
+    def packed(self, text: str | None) -> bytes:
+        """The codes as 32-bit integers, one after the other."""
+        return b"".join(self._each(text, self.codes, lambda token, t: array("i", [t]).tobytes()))
 
     def encode(self, text: str | None) -> list[int]:
-        return array("i", b"".join([x[3] for x in self.parts(text)])).tolist()
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.automaton.decode(ids).decode("utf-8", "replace")
@@ -228,7 +248,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         c = coder(path)
         for keys, texts in grouped_texts(it):
-            packed = [b"".join([x[3] for x in c.parts(t)]) for t in texts]
+            packed = [c.packed(t) for t in texts]
             n = np.array([len(p) // 4 for p in packed], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), ids], [id_col, "n_tokens", "ids"])

@@ -88,3 +88,6 @@ def grouped_texts(it, size: int = 4 << 20):
                 part_ids, part, n = [], [], 0
         if part_ids:
             yield part_ids, part
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()  # the worker lives on

@@ -89,4 +89,5 @@ def test_caches_may_overflow(monkeypatch, library):
     coder = bpe.BytePairCoder(PATH)
     for t in texts(40):
         assert coder.encode(t) == library.encode(t, add_special_tokens=False).ids
-        assert len(coder.kept) <= 3
+        assert "".join(x[0] + "," for x in coder.parts(t)) == "".join(f"{i}," for i in coder.encode(t))
+        assert len(coder.words.kept) <= 3 and len(coder.codes.older) <= 3

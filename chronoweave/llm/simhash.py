@@ -33,7 +33,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join
     grams = map(joined, zip(*[words[k:] for k in range(shingle)], strict=False)) if len(words) >= shingle else [joined(words)]
-    h = np.fromiter((xxh(g, SEED) for g in grams), np.uint64, n)
+    return majority(np.fromiter((xxh(g, SEED) for g in grams), np.uint64, n))
+
+
+def majority(h) -> int:
+    """The bits that more than half of the 64-bit numbers h hold."""
+    import numpy as np
+
+    n = len(h)
     parts = h.view(np.uint8).reshape(n, 8)  # little-endian: column 0 holds bits 0 to 7
     if n < 400:
         ones = np.unpackbits(parts, axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import bpe, decontaminate, linededup, quality, simhash
+from chronoweave.llm import bpe, decontaminate, linededup, quality, similar
 from chronoweave.llm.common import materialize, table
 
-#: Near-duplicates: five-word shingles; at most 5 of 64 bits apart, which is where groups come out as they do at a
-#: shingle similarity of 0.8. Segments of 21 bits find all such pairs.
-SHINGLE, DISTANCE = 5, 5
+#: Near-duplicates: five-word shingles at a similarity of 0.8 or more, by whole sets. Fingerprints at most 5 of 64 bits
+#: apart are verified first, so that groups of close copies are known before the other pairs are sought.
+SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    classes = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE)
+    classes = similar.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY, distance=DISTANCE)
     roots = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(roots.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,23 +45,76 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_scratches: ContextVar[tuple] = ContextVar("scratches", default=())
+#: Tables that results still read: path and Hadoop settings. release() deletes them, at the program's end at the latest.
+_results: dict[str, object] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to Parquet in the shared folder and read that. It survives the loss of any executor."""
+    """Cut the lineage: write to Parquet in the shared folder and read that. It survives the loss of any executor. The
+    shuffle files of the write go with its end; the table goes with the innermost scratch() that doesn't keep it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    inner = _scratches.get()
+    (inner[-1].tables if inner else _results)[at] = spark._jsparkSession.sessionState().newHadoopConf()
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(at)
     out._chronoweave_path = at
     return out
 
 
+def _delete(tables: dict[str, object], paths: list[str]) -> None:
+    for at in paths:
+        conf = tables.pop(at)
+        path = SparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class scratch:
+    """A block whose stored tables are deleted at its end, however it ends. ``keep`` hands a table on to the block
+    around it or, if there is none, to release()."""
+
+    def __enter__(self) -> scratch:
+        self.tables, self.kept = {}, set()
+        self.token = _scratches.set((*_scratches.get(), self))
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._chronoweave_path)
+        return df
+
+    def __exit__(self, *error) -> None:
+        _scratches.reset(self.token)
+        outer = _scratches.get()
+        if error[0] is None:
+            (outer[-1].tables if outer else _results).update({at: self.tables.pop(at) for at in self.kept if at in self.tables})
+        _delete(self.tables, list(self.tables))
+
+
+def release() -> None:
+    """Delete the tables that results of this program have read. Call it when those results are written."""
+    if SparkContext._jvm is not None:
+        _delete(_results, list(_results))
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone before us
+        release()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     at = getattr(df, "_chronoweave_path", None)
-    if at:
-        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for tables in (_results, *(s.tables for s in _scratches.get())):
+        if at in tables:
+            _delete(tables, [at])
 
 
 def lower_ascii(c: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 
 THRESHOLD = 2
 #: Shorter lines (trimmed, in characters) are left alone: they repeat by chance.
@@ -186,22 +186,24 @@ def beside(texts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """texts: _id, _text. Returns _id, _kept: the numbers of the judged lines that stay."""
-    each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= MIN_CHARS)
-    # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
-    firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
-    numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
-
-    def named(rows: DataFrame) -> DataFrame:
-        """_id, _no, _key of the lines whose numbers stand in _nos."""
-        rows = rows.select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
-        return rows.select("_id", "x._no", "x._key")
-
-    pick = lambda lines: named(beside(texts, materialize(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "asked"), "_id"))
-    pairs = materialize(candidates(named(_lines(texts).join(numbers.hint("shuffle_hash"), "_id")), pick, threshold), "pairs")
-    line = lambda rows, x: beside(texts, rows, f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
-    with_texts = line(materialize(line(pairs, "a"), "pairs-a"), "b")
-    gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))
-    return numbers.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_nos")).otherwise(F.array_except("_nos", "_gone")).alias("_kept"))
+    with scratch() as s:
+        each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= MIN_CHARS)
+        # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
+        firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
+        numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
+
+        def named(rows: DataFrame) -> DataFrame:
+            """_id, _no, _key of the lines whose numbers stand in _nos."""
+            rows = rows.select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
+            return rows.select("_id", "x._no", "x._key")
+
+        pick = lambda lines: named(beside(texts, materialize(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "asked"), "_id"))
+        pairs = materialize(candidates(named(_lines(texts).join(numbers.hint("shuffle_hash"), "_id")), pick, threshold), "pairs")
+        line = lambda rows, x: beside(texts, rows, f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
+        with_texts = line(materialize(line(pairs, "a"), "pairs-a"), "b")
+        gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))
+        left = numbers.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_nos")).otherwise(F.array_except("_nos", "_gone")).alias("_kept"))
+        return s.keep(materialize(left, "kept-lines"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

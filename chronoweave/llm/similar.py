@@ -5,6 +5,9 @@ All shingles are held in one order. Two sets with a similarity of ``similarity``
 its whole sets. Shingles that a sample finds common come last in the order, so few sets have them among their first:
 the sample decides how fast it goes, never what is found.
 
+Only prefixes and sketches are stored for every text; whole sets are made again from the texts of candidates, so the
+disk it takes is about a third of the input's.
+
 A large group of near copies isn't taken pair by pair: fingerprints that are close (see simhash) and, of each shared
 shingle, the holder of least id against all others are verified first. What this leaves apart is compared in full, in
 a join that passes over pairs which are one component already.
@@ -17,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grouped_texts, materialize, utf8
+from .common import discard, grouped_texts, materialize, scratch, utf8
 from .components import components
 from .linededup import BROADCAST_ROWS
 from .simhash import LOWER, SEED, links, majority
@@ -41,7 +44,7 @@ def shingle_hashes(text: str | None, shingle: int):
 
 
 def _shingled(df: DataFrame, id_col: str, text_col: str, shingle: int, least: int, common: Iterable[int]) -> DataFrame:
-    """id, fp, sig (of the set), n, s0.. (parity sketch), first (the prefix), hs (the set)."""
+    """node, fp, sig (of the set), n, s0.. (parity sketch), first (the prefix)."""
     kind = df.schema[id_col].dataType.simpleString()
     last = df.sparkSession.sparkContext.broadcast(sorted(common))
 
@@ -54,7 +57,7 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, shingle: int, least: in
         late.sort()
         late = late if len(late) else np.zeros(1, np.uint64)  # any order does
         for keys, texts in grouped_texts(it):
-            out = {c: [] for c in ("fp", "sig", "n", *[f"s{k}" for k in range(WORDS)], "first", "hs")}
+            out = {c: [] for c in ("fp", "sig", "n", *[f"s{k}" for k in range(WORDS)], "first")}
             for t in texts:
                 every = shingle_hashes(t, shingle)
                 hs = np.unique(every)
@@ -69,12 +72,26 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, shingle: int, least: in
                 for k in range(WORDS):
                     out[f"s{k}"].append(int(sketch[k]))
                 out["first"].append(order[: n + (-least * n // UNIT) + 1 if n else 0].view(np.int64))
-                out["hs"].append(hs.view(np.int64))
-            kinds = {"sig": pa.binary(), "n": pa.int32(), "first": pa.list_(pa.int64()), "hs": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()]], [id_col, *out])
+            kinds = {"sig": pa.binary(), "n": pa.int32(), "first": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()]], ["node", *out])
 
     sketch = ", ".join(f"s{k} long" for k in range(WORDS))
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long, sig binary, n int, {sketch}, first array<bigint>, hs array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(run, f"node {kind}, fp long, sig binary, n int, {sketch}, first array<bigint>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """node, hs (the set) of (node, text)."""
+    kind = docs.schema["node"].dataType.simpleString()
+
+    def run(it):
+        import numpy as np
+        import pyarrow as pa
+
+        for keys, texts in grouped_texts(it):
+            hs = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hs, pa.list_(pa.int64()))], ["node", "hs"])
+
+    return docs.mapInArrow(run, f"node {kind}, hs array<bigint>")
 
 
 def _common(df: DataFrame, id_col: str, text_col: str, shingle: int) -> list[int]:
@@ -103,37 +120,50 @@ def _possible(least: int) -> Column:
     return (F.least(n, m) * UNIT >= F.greatest(n, m) * least) & ((n + m - apart) * UNIT >= (n + m + apart) * least)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar. sets: node, n, hs."""
-    pairs = materialize(pairs.distinct(), "similar-pairs")
-    asked = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "asked")
-    # few asked for: only their sets move
-    asked = asked.hint("shuffle_hash") if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
-    there = materialize(sets.join(asked, "node", "left_semi"), "similar-sets")
-    a = pairs.join(there.select(F.col("node").alias("u"), F.col("hs").alias("x")), "u")
-    both = a.join(there.select(F.col("node").alias("v"), F.col("hs").alias("y")), "v")
-    shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
-    out = materialize(shared.where(F.col("i") * UNIT >= (F.col("n") - F.col("i")) * least).select("u", "v"), "similar-links")
-    discard(there)
-    return out
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar. docs: node, text."""
+    with scratch() as s:
+        pairs = materialize(pairs.distinct(), "similar-pairs")
+        asked = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "asked")
+        # ids alone, so a counted number of rows has a bounded size; few asked for: only their texts are read
+        asked = asked.hint("shuffle_hash") if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
+        there = materialize(_sets(docs.join(asked, "node", "left_semi"), shingle), "similar-sets")
+        a = pairs.join(there.select(F.col("node").alias("u"), F.col("hs").alias("x")), "u")
+        both = a.join(there.select(F.col("node").alias("v"), F.col("hs").alias("y")), "v")
+        shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))
+        return s.keep(materialize(shared.where(F.col("i") * UNIT >= (F.col("n") - F.col("i")) * least).select("u", "v"), "similar-links"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
     """id, component_id (the least id reachable over pairs that are similar, itself included) for each row.
 
     Defined results: texts without words are equal; words are those of simhash; a text shorter than a shingle is one
-    shingle; rows that repeat an id count as one node with several sets. Ids are integers."""
+    shingle; rows that repeat an id count as one node with several sets. Ids are integers, and not null."""
     least = round(similarity * UNIT)
-    rows = materialize(_shingled(df, id_col, text_col, shingle, least, _common(df, id_col, text_col, shingle)), "shingles")
-    classes = materialize(rows.groupBy("sig").agg(F.min(F.struct(F.col(id_col), "fp")).alias("m")).select("sig", F.col(f"m.{id_col}").alias("node"), "m.fp"), "classes")
+    docs = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    with scratch() as s:
+        rows = materialize(_shingled(df, id_col, text_col, shingle, least, _common(df, id_col, text_col, shingle)), "shingles")
+        classes = materialize(rows.groupBy("sig").agg(F.min(F.struct("node", "fp")).alias("m")).select("sig", "m.node", "m.fp"), "classes")
+        near = materialize(_links(rows, classes, docs, shingle, least, distance), "all-links")
+        stars = components(near)
+        of = classes.join(stars, F.col("node") == F.col("u"), "left").select("sig", F.coalesce("v", "node").alias("component_id"))
+        found = rows.select("node", "sig").join(of, "sig").select(F.col("node").alias(id_col), "component_id")
+        return s.keep(materialize(found, "groups"))
+
+
+def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, least: int, distance: int) -> DataFrame:
+    """Similar pairs (u, v) that connect whatever is similar; not all pairs of a large group."""
     sketch = [f"s{k}" for k in range(WORDS)]
-    heads = rows.withColumnRenamed(id_col, "node").select("node", "sig", "first").join(classes.select("sig", "node").hint("shuffle_hash"), ["sig", "node"], "left_semi")
-    posted = materialize(heads.select("node", F.explode("first").alias("key")), "prefixes")
+    # of equal sets one stands for all
+    heads = materialize(rows.join(classes.select("sig", "node").hint("shuffle_hash"), ["sig", "node"], "left_semi").select("node", "n", *sketch, "first"), "prefixes")
+    posted = heads.select("node", F.explode("first").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    common = materialize(posted.join(shared.hint("shuffle_hash"), "key"), "shared-keys")
-    discard(posted)
-    sizes = rows.withColumnRenamed(id_col, "node").select("node", "n", *sketch).distinct()
-    held = materialize(common.join(sizes, "node"), "shared")
+    shared = materialize(shared, "shared-keys")
+    common = materialize(posted.join(shared.hint("shuffle_hash"), "key"), "shared-postings")
+    sizes = heads.select("node", "n", *sketch).distinct()
+    held = materialize(common.join(sizes.hint("shuffle_hash"), "node"), "shared")
+    for gone in (common, shared, heads):
+        discard(gone)
     other = lambda rows, *more: rows.select("key", *more, F.col("node").alias("node2"), F.col("n").alias("n2"), *[F.col(s).alias(f"t{k}") for k, s in enumerate(sketch)])
     # first round: close fingerprints, and the first holder of each shingle with all others
     one = classes.groupBy("fp").agg(F.min("node").alias("node"))
@@ -141,15 +171,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = other(held.where(F.col("node") == F.col("least")))
     stars = held.where(F.col("node") != F.col("least")).join(firsts, "key").where(_possible(least)).select(F.col("node").alias("u"), F.col("node2").alias("v"))
     normal = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    sets = rows.select(F.col(id_col).alias("node"), "hs")
-    near = _verified(normal(equal.union(links(one, distance)).union(stars)), sets, least)
+    near = _verified(normal(equal.union(links(one, distance)).union(stars)), docs, shingle, least)
     # second round: all other pairs that share a shingle
     joined = components(near)
     known = held.join(joined.select(F.col("u").alias("node"), F.col("v").alias("of")), "node", "left").withColumn("of", F.coalesce("of", "node"))
     known = materialize(known.drop("least"), "shared-known")
+    discard(held)
     right = other(known, F.col("of").alias("of2"))
     rest = known.join(right.hint("shuffle_hash"), "key").where((F.col("node") > F.col("node2")) & (F.col("of") != F.col("of2")) & _possible(least))
-    far = _verified(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), sets, least)
-    stars = components(near.union(far))
-    of = classes.join(stars, F.col("node") == F.col("u"), "left").select("sig", F.coalesce("v", "node").alias("component_id"))
-    return rows.select(id_col, "sig").join(of, "sig").select(id_col, "component_id")
+    far = _verified(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), docs, shingle, least)
+    return near.union(far)

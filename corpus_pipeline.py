@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, decontaminate, linededup, quality, similar
-from chronoweave.llm.common import materialize, table
+from chronoweave.llm.common import discard, materialize, scratch, table
 
 #: Near-duplicates: five-word shingles at a similarity of 0.8 or more, by whole sets. Fingerprints at most 5 of 64 bits
 #: apart are verified first, so that groups of close copies are known before the other pairs are sought.
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{k}")
-    return docs
+        if k + 1 == len(STAGES):
+            break
+        with scratch() as s:  # of each stage only its rows stay, until the next one has been written
+            after = s.keep(materialize(stage(spark, docs, sf_dir), f"stage{k}"))
+        discard(docs)
+        docs = after
+    return stage(spark, docs, sf_dir)

@@ -117,6 +117,31 @@ def discard(df: DataFrame) -> None:
             _delete(tables, [at])
 
 
+#: A table up to this size is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a stored table take at most ``limit`` bytes, by the sum of what their values take."""
+    each = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            each = each + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            each = each + F.coalesce(F.octet_length(F.array_join(c, "")) + 16 * F.size(c), F.lit(0))
+        elif kind.startswith("array"):
+            each = each + F.coalesce(8 * F.size(c), F.lit(0))
+        else:
+            each = each + 8
+    return (df.agg(F.sum(each.cast("long"))).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, otherwise: str | None = None) -> DataFrame:
+    """Marked for a broadcast if its measured size allows it; if not, with the hint ``otherwise``."""
+    return F.broadcast(df) if fits(df) else df.hint(otherwise) if otherwise else df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z only. ASCII texts take the fast built-in; in others lower() would also change letters beyond ASCII."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(

@@ -29,7 +29,8 @@ from .simhash import LOWER, SEED, links, majority
 SAMPLE, COMMON, MOST_COMMON = 4_000, 3, 50_000
 #: The similarity is counted in hundredths, so that bounds are whole numbers.
 UNIT = 100
-#: Bits of the parity sketch, in words of 64.
+#: The parity sketch has one bit for two shingles, in words of 64, a power of two of them and WORDS at least. So many
+#: are enough to tell a pair that is just similar from a pair with nothing in common.
 WORDS = 4
 
 
@@ -44,7 +45,7 @@ def shingle_hashes(text: str | None, shingle: int):
 
 
 def _shingled(df: DataFrame, id_col: str, text_col: str, shingle: int, least: int, common: Iterable[int]) -> DataFrame:
-    """node, fp, sig (of the set), n, s0.. (parity sketch), first (the prefix)."""
+    """node, fp, sig (of the set), n, s0.. (parity sketch of WORDS words), sk (the whole one), first (the prefix)."""
     kind = df.schema[id_col].dataType.simpleString()
     last = df.sparkSession.sparkContext.broadcast(sorted(common))
 
@@ -57,26 +58,30 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, shingle: int, least: in
         late.sort()
         late = late if len(late) else np.zeros(1, np.uint64)  # any order does
         for keys, texts in grouped_texts(it):
-            out = {c: [] for c in ("fp", "sig", "n", *[f"s{k}" for k in range(WORDS)], "first")}
+            out = {c: [] for c in ("fp", "sig", "n", *[f"s{k}" for k in range(WORDS)], "sk", "first")}
             for t in texts:
                 every = shingle_hashes(t, shingle)
                 hs = np.unique(every)
                 n = len(hs)
                 is_late = late[np.minimum(np.searchsorted(late, hs), len(late) - 1)] == hs
                 order = np.concatenate([hs[~is_late], hs[is_late]])
-                bits = np.bincount((hs >> np.uint64(32)) % np.uint64(64 * WORDS), minlength=64 * WORDS) % 2
-                sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+                size = 64 * max(WORDS, 1 << (n // 128).bit_length())
+                bits = np.bincount((hs >> np.uint64(32)) % np.uint64(size), minlength=size) % 2
+                sk = sketch = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+                while len(sketch) > WORDS:  # the sketch of half the size
+                    sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
                 out["fp"].append(int(np.uint64(majority(every)).astype(np.int64)) if n else 0)
                 out["sig"].append(xxh128_digest(hs.tobytes()))
                 out["n"].append(n)
                 for k in range(WORDS):
                     out[f"s{k}"].append(int(sketch[k]))
+                out["sk"].append(sk)
                 out["first"].append(order[: n + (-least * n // UNIT) + 1 if n else 0].view(np.int64))
-            kinds = {"sig": pa.binary(), "n": pa.int32(), "first": pa.list_(pa.int64())}
+            kinds = {"sig": pa.binary(), "n": pa.int32(), "sk": pa.list_(pa.int64()), "first": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()]], ["node", *out])
 
     sketch = ", ".join(f"s{k} long" for k in range(WORDS))
-    return df.select(id_col, text_col).mapInArrow(run, f"node {kind}, fp long, sig binary, n int, {sketch}, first array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(run, f"node {kind}, fp long, sig binary, n int, {sketch}, sk array<bigint>, first array<bigint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -116,14 +121,30 @@ def _possible(least: int) -> Column:
     one set holds turns one bit, so different bits are never more than such shingles."""
     n, m = F.col("n").cast("long"), F.col("n2").cast("long")
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    # similar: (n + m - apart) / 2 in both, of (n + m + apart) / 2 in either
-    return (F.least(n, m) * UNIT >= F.greatest(n, m) * least) & ((n + m - apart) * UNIT >= (n + m + apart) * least)
+    return (F.least(n, m) * UNIT >= F.greatest(n, m) * least) & _near(n + m, apart, least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
+def _near(sizes: Column, apart: Column, least: int) -> Column:
+    """Similar: (sizes - apart) / 2 shingles in both, of (sizes + apart) / 2 in either."""
+    return (sizes - apart) * UNIT >= (sizes + apart) * least
+
+
+def _by_whole_sketches(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs (u, v) that their whole sketches leave possible. sketches: node, n, sk. Of two lengths, which are one
+    doubling apart, the longer sketch is folded."""
+    of = lambda c, k: sketches.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n{k}"), F.col("sk").alias(f"sk{k}"))
+    both = pairs.join(of("u", 1), "u").join(of("v", 2), "v")
+    half = lambda x, k: F.slice(x, (F.size(x) / 2 * k + 1).cast("int"), (F.size(x) / 2).cast("int"))
+    xor = lambda x, y: F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), xor(half(x, 0), half(x, 1))).otherwise(F.col(x))
+    bits = F.aggregate(xor(fold("sk1", "sk2"), fold("sk2", "sk1")), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
+    return both.where(_near(F.col("n1") + F.col("n2"), bits, least)).select("u", "v")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, least: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar. docs: node, text."""
     with scratch() as s:
-        pairs = materialize(pairs.distinct(), "similar-pairs")
+        pairs = materialize(_by_whole_sketches(pairs.distinct(), sketches, least), "similar-pairs")
         asked = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "asked")
         # ids alone, so a counted number of rows has a bounded size; few asked for: only their texts are read
         asked = asked.hint("shuffle_hash") if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
@@ -155,7 +176,8 @@ def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, l
     """Similar pairs (u, v) that connect whatever is similar; not all pairs of a large group."""
     sketch = [f"s{k}" for k in range(WORDS)]
     # of equal sets one stands for all
-    heads = materialize(rows.join(classes.select("sig", "node").hint("shuffle_hash"), ["sig", "node"], "left_semi").select("node", "n", *sketch, "first"), "prefixes")
+    heads = materialize(rows.join(classes.select("sig", "node").hint("shuffle_hash"), ["sig", "node"], "left_semi").select("node", "n", *sketch, "sk", "first"), "prefixes")
+    whole = materialize(heads.select("node", "n", "sk"), "sketches")
     posted = heads.select("node", F.explode("first").alias("key"))
     shared = posted.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     shared = materialize(shared, "shared-keys")
@@ -171,7 +193,7 @@ def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, l
     firsts = other(held.where(F.col("node") == F.col("least")))
     stars = held.where(F.col("node") != F.col("least")).join(firsts, "key").where(_possible(least)).select(F.col("node").alias("u"), F.col("node2").alias("v"))
     normal = lambda e: e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _verified(normal(equal.union(links(one, distance)).union(stars)), docs, shingle, least)
+    near = _verified(normal(equal.union(links(one, distance)).union(stars)), whole, docs, shingle, least)
     # second round: all other pairs that share a shingle
     joined = components(near)
     known = held.join(joined.select(F.col("u").alias("node"), F.col("v").alias("of")), "node", "left").withColumn("of", F.coalesce("of", "node"))
@@ -179,5 +201,5 @@ def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, l
     discard(held)
     right = other(known, F.col("of").alias("of2"))
     rest = known.join(right.hint("shuffle_hash"), "key").where((F.col("node") > F.col("node2")) & (F.col("of") != F.col("of2")) & _possible(least))
-    far = _verified(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), docs, shingle, least)
+    far = _verified(rest.select(F.col("node").alias("u"), F.col("node2").alias("v")), whole, docs, shingle, least)
     return near.union(far)

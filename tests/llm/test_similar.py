@@ -7,17 +7,6 @@ from chronoweave.llm import similar
 from . import brute
 
 
-def shingles(text, k):
-    words = (text or "").split()
-    return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
-
-
-def want(rows, k=5, least=0.8):
-    sets = {i: shingles(t, k) for i, t in rows}
-    alike = lambda a, b: a == b or len(a & b) >= least * len(a | b)
-    return brute.roots(sets, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
-
-
 @pytest.fixture(scope="module")
 def corpus(prose):
     """Copies with up to nine words changed, lone pairs at similarities around 0.8, a passage that many texts hold."""
@@ -39,7 +28,7 @@ def test_all_pairs_are_found(spark, corpus, monkeypatch, common):
     monkeypatch.setattr(similar, "COMMON", common)
     got = similar.near_duplicates(spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(3))
     found = {r["doc_id"]: r["component_id"] for r in got.collect()}
-    assert found == want(corpus)
+    assert found == brute.similar(corpus)
     # more than fingerprints five bits apart link
     by_bits = {i: c for i, (_, c) in brute.simhash(corpus, 5, 5).items()}
     assert len(set(found.values())) < len(set(by_bits.values()))
@@ -50,4 +39,4 @@ def test_pipeline_stage(spark, corpus):
 
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
-    assert {r["doc_id"] for r in got.collect()} == set(want(corpus).values())
+    assert {r["doc_id"] for r in got.collect()} == set(brute.similar(corpus).values())

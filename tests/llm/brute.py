@@ -52,6 +52,18 @@ def simhash(rows, k, most):
     return {i: (fps[i], r) for i, r in roots(fps, links).items()}
 
 
+def similar(rows, k=5, least=0.8):
+    """{id: root} over texts whose sets of k-word shingles have at least this similarity."""
+
+    def shingles(text):
+        w = (text or "").split()
+        return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b))
+    return roots(sets, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+
+
 def contamination(docs, tests, window):
     wins = defaultdict(set)
     for item, t in tests:
@@ -70,9 +82,19 @@ def contamination(docs, tests, window):
     return out
 
 
-def lines_left(rows, threshold, least):
-    """{id: text}: a line goes if one within ``threshold`` edits comes before it, by id and number."""
-    seen, out = [], {}
+def near_lines(a, b, threshold, long, classes):
+    """Within ``threshold`` characters; lines of ``long`` words or more by words, the more the longer the shorter is."""
+    x, y = re.split(r"[ \t\n\x0b\f\r]+", a), re.split(r"[ \t\n\x0b\f\r]+", b)
+    n = min(len(x), len(y))
+    if n < long:
+        return abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold
+    most = max(t for least, t in classes if n >= least)
+    return abs(len(x) - len(y)) <= most and distance(x, y) <= most
+
+
+def lines_left(rows, threshold, least, long, classes):
+    """{id: text}: a line goes if one within its threshold comes before it, by id and number."""
+    seen, out = {}, {}
     for i, t in sorted(r for r in rows if r[1] is not None):
         kept = []
         for line in t.split("\n"):
@@ -80,10 +102,9 @@ def lines_left(rows, threshold, least):
             if len(key) < least:
                 kept.append(line)
                 continue
-            if not any(abs(len(key) - len(s)) <= threshold and distance(key, s) <= threshold for s in seen):
+            if key not in seen and not any(near_lines(key, s, threshold, long, classes) for s in seen):
                 kept.append(line)
-            if key not in seen:
-                seen.append(key)
+            seen[key] = True
         out[i] = "\n".join(kept)
     return out
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import licenses
 
@@ -33,17 +34,42 @@ def test_base_against_brute_force(spark, rows):
 
 
 def test_spans_say_where(spark, rows):
-    sizes, spans = licenses.scan(spark.createDataFrame([r for r in rows if r[0] in (7, 8)], "doc_id bigint, text string"))
+    spans = licenses.scan(spark.createDataFrame([r for r in rows if r[0] in (6, 7, 8)], "doc_id bigint, text string"))
     got = {r["doc_id"]: r for r in spans.where("template >= 3").collect()}
     assert got[7]["first"] == 50 and got[8]["first"] == 0 and got[8]["last"] == len(licenses.NOTICES[0].text.split())
-    assert sizes.count() == 2
+    assert got[7]["label"] == "mit" and not got[7]["exact"] and set(got) == {7, 8}
+
+
+def test_one_id_with_two_texts(spark):
+    """Votes of one text don't help another, and each row has its own row."""
+    rows = [(1, "foo under the mit bar"), (1, "foo xx the mit license zz"), (1, "under the mit license"), (None, "cc by nc"), (None, None), (2, "x"), (2, "x")]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_base"], r["labels"]) for r in licenses.report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect())
+    assert got == [(0, 0, 0, ""), (0, 3, 1, "cc-by-nc"), (1, 4, 1, "mit"), (1, 5, 0, ""), (1, 6, 0, ""), (2, 1, 0, ""), (2, 1, 0, "")]
+
+
+def test_votes_are_verified_by_their_words(spark, monkeypatch):
+    """With a hash that maps all words to one value only true places are left."""
+    real = F.xxhash64
+    monkeypatch.setattr(licenses.F, "xxhash64", lambda *c: real(*c) if len(c) == 1 else F.when(real(*c).isNotNull(), F.lit(5).cast("long")) if len(c) == 3 else real(*c))
+    got = licenses.report(spark.createDataFrame([(1, "a b c under the mit license d e f g")], "doc_id bigint, text string")).first()
+    assert (got["n_base"], got["first_word"], got["labels"]) == (1, 3, "mit")
+
+
+def test_long_templates_take_several_masks(spark, prose):
+    text = prose(5, 200)
+    mine = (licenses.Template("long", text),)
+    words = text.split()
+    docs = [(1, "x " + text + " y"), (2, " ".join(words[:100])), (3, " ".join(words[:70] + words[90:]))]
+    got = {r["doc_id"]: r for r in licenses.report(spark.createDataFrame(docs, "doc_id bigint, text string"), (), mine).collect()}
+    assert got[1]["score"] == 1 and got[1]["labels"] == "long" and got[2]["labels"] == ""
+    assert len(licenses._masks(F.lit(1), mine[0].size)) == 4
 
 
 def test_edges(edge_docs, edge_rows, no_docs):
     got = {r["doc_id"]: r for r in licenses.report(edge_docs).collect()}
     assert {i: r["n_words"] for i, r in got.items()} == {i: len(brute.alnum(t)) for i, t in edge_rows}
     assert licenses.report(no_docs).count() == 0
-    assert licenses.report(edge_docs.union(edge_docs)).count() == len(edge_rows)
+    assert licenses.report(edge_docs.union(edge_docs)).count() == 2 * len(edge_rows)
 
 
 def test_own_templates(spark):

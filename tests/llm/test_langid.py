@@ -1,4 +1,7 @@
 import math
+import random
+import zlib
+from collections import Counter
 
 import pytest
 
@@ -23,19 +26,65 @@ def test_escapes_by_hand():
     assert tree.bits(b"a", ord("z")) == pytest.approx(1 - math.log2(2 / 4) + math.log2(253))
 
 
-def test_kept_words_change_nothing(monkeypatch):
+def plain_bits(trees, text):
+    """Byte by byte, with nothing kept."""
+    words = [b" " + w.encode("utf-8", "surrogatepass") + b" " for w in text.lower().split()]
+    return [sum(t.bits(w[max(0, i - langid.ORDER) : i], w[i]) for w in words for i in range(1, len(w))) for t in trees]
+
+
+def trees_of(*texts):
     trees = []
-    for words in ("the cat sat on the mat", "der hund lief in das haus"):
+    for text in texts:
         tree = langid.ContextTree()
-        for w in words.split():
-            tree.add(w.encode(), 1)
+        for w, n in Counter(text.lower().split()).items():
+            tree.add(w.encode("utf-8", "surrogatepass"), n)
         trees.append(tree)
-    text = "the haus on der mat " * 30
-    want = [sum(sum(t.bits((b" " + w.encode() + b" ")[max(0, i - langid.ORDER) : i], (b" " + w.encode() + b" ")[i]) for i in range(1, len(w) + 2)) for w in text.split()) for t in trees]
-    for kept in (300_000, 2):
-        monkeypatch.setattr(langid, "KEPT_WORDS", kept)
+    return trees
+
+
+def test_kept_costs_change_nothing(monkeypatch, edge_rows):
+    trees = trees_of("the cat sat on the mat", "der hund lief in das haus")
+    texts = ["the haus on der mat " * 30, "x", *[t for _, t in edge_rows if t and t.strip()]]
+    want = [plain_bits(trees, t) for t in texts]
+    for kept, chunk in ((300_000, 1 << 18), (2, 7), (50, 1000)):
         monkeypatch.setattr(langid, "KEPT_GRAMS", kept)
-        assert langid.LanguageModel(["a", "b"], trees).text_bits(text).tolist() == pytest.approx(want)
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        monkeypatch.setattr(langid, "SLOTS", 1 << 14)
+        model = langid.LanguageModel(["a", "b"], trees)
+        got = model.bits(texts if chunk > 100 else texts[:2])
+        for g, w in zip(got.tolist(), want, strict=False):
+            assert g == pytest.approx(w, rel=1e-6)
+        assert model.bits(texts[:2]).tolist() == model.bits(texts[1::-1]).tolist()[::-1]
+
+
+def test_the_query_against_a_plain_version(spark, tmp_path, prose):
+    """Learned from the rows that aren't held out, each document scored byte by byte."""
+    rng = random.Random(2)
+    voice = {"aa": prose(1, 400), "bb": " ".join(w[::-1] + "o" for w in prose(2, 400).split()), "cc": prose(3, 300).upper().replace("E", "É")}
+    rows = [(i, " ".join(rng.sample(voice[lang].split(), rng.randint(1, 40))), lang if i % 5 else None) for i in range(80) for lang in [rng.choice(sorted(voice))]]
+    rows += [(200, None, "aa"), (201, "12 34", "bb"), (202, "", None), (203, prose(9, 3), "dd"), (203, prose(9, 3), "dd")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    train = {}
+    for i, t, lang in dict.fromkeys(rows):
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            train.setdefault(lang, []).append(t)
+    langs = sorted(train)
+    trees = trees_of(*[" ".join(train[x]) for x in langs])
+    got = sorted(map(tuple, langid.query(spark, str(tmp_path)).collect()))
+    assert len(got) == len(rows)
+    for (i, t, _), (j, held, pred, score) in zip(sorted(rows, key=lambda r: r[0]), got, strict=True):
+        assert i == j and held == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not t or not any(c.isalpha() for c in t):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        bits = plain_bits(trees, t)
+        assert pred == langs[bits.index(min(bits))]
+        assert score == pytest.approx(1 / sum(2 ** max(min(bits) - b, -1000) for b in bits), rel=1e-3)
+
+
+def test_long_texts_are_learned_from(spark, prose):
+    model = langid.fit(spark.createDataFrame([(1, prose(1, 40_000), "xx"), (2, "a b", "yy")], "doc_id bigint, text string, lang string"))
+    assert model.langs == ["xx", "yy"] and model.predict([prose(1, 50)])[0][0] == "xx"
 
 
 def test_edges(edge_docs, no_docs, spark):

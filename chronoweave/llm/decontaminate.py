@@ -7,7 +7,8 @@
    reads a text, so neither texts nor lists of frequent words are shuffled.
 4. ``phrase_matches`` takes the list of a window's rarest word, moves it by the word's offset, intersects it with the
    second rarest word's and then with all the others', which the stored neighbourhood holds. ``proximity_matches``
-   asks for a share of the window's words in any order in the neighbourhood instead.
+   asks for a share of the window's words in any order close together instead; for these a window is keyed by as many
+   rare words as it takes for every such place to hold one.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, table
+from .common import fits, lower_ascii, materialize, small, table
 
 WINDOW = 10
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands behind the last word of each text (no word has a space).
 END = " end"
-#: Test windows up to this number are broadcast (about 300 bytes each); more go through a shuffle join.
-BROADCAST_ROWS = 100_000
+#: A proximity match holds this share of a window's different words within REACH words.
+SHARE = 0.8
 
 
 def words_of(c: Column) -> Column:
@@ -30,15 +31,6 @@ def words_of(c: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(c, F.lit(""))), SPLIT), "")
 
 
-def is_small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast if the counted rows allow it."""
-    return F.broadcast(df) if is_small(df) else df
-
-
 def windows(tests: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, win (its words): every window of every test text; a shorter text is one window, an empty one none."""
     w = tests.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
@@ -47,23 +39,38 @@ def windows(tests: DataFrame, window: int = WINDOW, id_col: str = "item_id", tex
 
 
 def term_counts(docs: DataFrame, wins: DataFrame, text_col: str = "text") -> DataFrame:
-    """term, n: occurrences of each test word in all texts."""
-    terms = wins.select(F.explode("win").alias("word")).distinct().select(F.xxhash64("word").alias("term")).distinct()
+    """term, n: occurrences of each test word in all texts; stored, since the texts are read for it."""
+    terms = materialize(wins.select(F.explode("win").alias("word")).distinct().select(F.xxhash64("word").alias("term")).distinct(), "terms")
     each = docs.select(F.explode(words_of(F.col(text_col))).alias("word")).select(F.xxhash64("word").alias("term"))
-    if is_small(terms):
-        return each.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")  # the scan's combine comes before the shuffle
+    if fits(terms):
+        counted = each.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    else:  # the scan's combine comes before the shuffle
+        counted = each.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
+    return materialize(counted, "term-counts")
 
 
-def keyed(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """item_id, win, term (of the rarest word), off (its place in the window), off2 (the second rarest word's)."""
+def keyed(wins: DataFrame, counts: DataFrame, share: float = SHARE) -> DataFrame:
+    """item_id, win, rank, term, off: the rarest words of each window with their places in it, the rarest at rank 0. A
+    text that holds at least ``share`` of the window's different words holds one of these words: there is one more of
+    them than may be missing. off2: the place of the window's second rarest word."""
     places = wins.select("item_id", "win", F.posexplode("win").alias("off", "word")).withColumn("term", F.xxhash64("word"))
     ranked = (
         places.join(small(counts), "term", "left")
         .groupBy("item_id", "win")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))).alias("by"))  # as many as a window has words
     )
-    return ranked.select("item_id", "win", F.col("by")[0]["term"].alias("term"), F.col("by")[0]["off"].alias("off"), F.coalesce(F.get("by", F.lit(1))["off"], F.col("by")[0]["off"]).alias("off2"))
+    off2 = F.coalesce(F.get("by", F.lit(1))["off"], F.col("by")[0]["off"])
+    # of equal words, which stand side by side in the order, the first
+    firsts = F.filter("by", lambda x, i: (i == 0) | (F.get("by", i - 1)["term"] != x["term"]))
+    ranked = ranked.select("item_id", "win", off2.alias("off2"), firsts.alias("by"))
+    keys = F.slice("by", F.lit(1), F.size("by") - F.ceil(F.size("by") * share - 1e-9).cast("int") + 1)
+    return ranked.select("item_id", "win", "off2", F.posexplode(keys).alias("rank", "x")).select("item_id", "win", "rank", "x.term", "x.off", "off2")
+
+
+def keys_of(docs: DataFrame, tests: DataFrame, window: int = WINDOW, share: float = 1.0, text_col: str = "text") -> DataFrame:
+    """The stored keys of all windows of ``tests`` by the word counts of ``docs``. share 1: for phrases only."""
+    wins = windows(tests, window)
+    return materialize(keyed(wins, term_counts(docs, wins, text_col), share), "windows")
 
 
 def build_index(docs: DataFrame, terms: DataFrame, reach: int = WINDOW - 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +80,7 @@ def build_index(docs: DataFrame, terms: DataFrame, reach: int = WINDOW - 1, id_c
     wanted = terms.select("term").union(terms.sparkSession.range(1).select(end.alias("term"))).distinct()
     texts = docs.select(F.col(id_col), words_of(F.col(text_col)).alias("w"))
     every = F.posexplode(F.concat("w", F.array(F.lit(END)))).alias("pos", "word")
-    if is_small(wanted):
+    if fits(wanted):
         found = texts.select(id_col, "w", every).withColumn("term", F.xxhash64("word")).join(F.broadcast(wanted), "term")
     else:  # only ids, positions and hashes are shuffled; they go back to their texts as one list a document
         places = texts.select(id_col, every).select(id_col, "pos", F.xxhash64("word").alias("term")).join(wanted, "term")
@@ -89,17 +96,25 @@ def phrase_matches(index: DataFrame, keys: DataFrame, id_col: str = "doc_id") ->
     start = F.col("at") - F.col("off")
     second = F.get("near", start + F.col("off2")) == F.get("win", F.col("off2"))
     whole = F.slice("near", start + 1, F.size("win")) == F.col("win")
-    return index.join(small(keys), "term").where((start >= 0) & second & whole).select(
+    return index.join(small(keys.where("rank = 0")), "term").where((start >= 0) & second & whole).select(
         id_col, "item_id", (F.col("pos") - F.col("off")).alias("first"), (F.col("pos") - F.col("off") + F.size("win") - 1).alias("last")
     )
 
 
-def proximity_matches(index: DataFrame, keys: DataFrame, share: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, pos, near_share: places around which at least ``share`` of a window's different words stand,
-    in any order, no farther than the index reaches from the rarest of them."""
-    words = F.size(F.array_distinct("win"))
-    found = F.size(F.array_intersect("win", "near")) / words
-    return index.join(small(keys), "term").where(found >= share).select(id_col, "item_id", "pos", found.alias("near_share"))
+def proximity_matches(index: DataFrame, keys: DataFrame, share: float = SHARE, reach: int = WINDOW + 2, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, item_id, win, first: each stretch of at most ``reach`` words that begins at ``first`` and holds at least
+    ``share`` of a window's different words, in any order, and begins with one of them. The index must reach that far
+    (``build_index(..., reach - 1)``), and ``keys`` must be of the same share, so that every such stretch holds a
+    posting: all of them are found, whichever words are missing."""
+    need = F.ceil(F.size("words") * share - 1e-9)
+    wanted = keys.select("item_id", "win", "term", F.array_distinct("win").alias("words"))
+    near = index.join(small(wanted), "term").where(F.size(F.array_intersect("words", "near")) >= need)
+    # stretches around the posting that begin with a word of the window
+    starts = F.filter(
+        F.sequence(F.greatest(F.lit(0), F.col("at") - reach + 1), F.col("at")),
+        lambda i: F.array_contains("words", F.get("near", i)) & (F.size(F.array_intersect("words", F.slice("near", i + 1, F.lit(reach)))) >= need),
+    )
+    return near.select(id_col, "item_id", "win", F.col("pos"), F.col("at"), F.explode(starts).alias("i")).select(id_col, "item_id", "win", (F.col("pos") - F.col("at") + F.col("i")).alias("first")).distinct()
 
 
 def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +124,7 @@ def contamination(docs: DataFrame, tests: DataFrame, window: int = WINDOW, id_co
     Defined results: null and empty documents have no words and no hits, null and empty tests no windows; an empty
     table of tests hits nothing; ids are keys, so rows that repeat one are taken together as one document; repeated
     tests count once; columns other than id and text aren't read."""
-    wins = windows(tests, window)
-    keys = materialize(keyed(wins, term_counts(docs, wins, text_col)), "windows")
+    keys = keys_of(docs, tests, window, 1.0, text_col)
     index = build_index(docs, keys, window - 1, id_col, text_col)
     matches = phrase_matches(index, keys, id_col)
     sizes = index.where(F.col("term") == F.xxhash64(F.lit(END))).select(id_col, F.col("pos").alias("n_words"))

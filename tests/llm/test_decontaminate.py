@@ -30,9 +30,10 @@ def rows_of(df):
 
 
 @pytest.mark.parametrize("window", [10, 4, 1])
-@pytest.mark.parametrize("broadcast", [100_000, 0])
+@pytest.mark.parametrize("broadcast", [True, False])
 def test_against_brute_force(spark, planted, monkeypatch, window, broadcast):
-    monkeypatch.setattr(d, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(d, "fits", lambda df: broadcast)
+    monkeypatch.setattr(d, "small", lambda df: F.broadcast(df) if broadcast else df)
     docs, tests = planted
     got = rows_of(d.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(tests, "item_id bigint, text string"), window))
     want = brute.contamination(docs, tests, window)
@@ -48,14 +49,39 @@ def test_edges(edge_docs, edge_rows, no_docs, spark):
     assert d.contamination(no_docs, tests).count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x x delta beta gamma alpha x"), (2, "alpha x x x x x x x x x x x x beta"), (3, "nothing")], "doc_id bigint, text string")
-    tests = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id bigint, text string")
-    wins = d.windows(tests, 4)
-    keys = d.keyed(wins, d.term_counts(docs, wins))
-    got = d.proximity_matches(d.build_index(docs, keys, 3), keys, 0.9).collect()
-    assert [(r["doc_id"], r["item_id"], r["near_share"]) for r in got] == [(1, 7, 1.0)]
-    assert d.phrase_matches(d.build_index(docs, keys, 3), keys).count() == 0
+def near_places(docs, tests, window, share, reach):
+    """Every stretch of ``reach`` words that begins with a word of the window and holds enough of its words."""
+    out = set()
+    for item, t in tests:
+        w = brute.alnum(t)
+        for s in range(max(1, len(w) - window + 1) if w else 0):
+            words = set(w[s : s + window])
+            for i, text in docs:
+                x = brute.alnum(text)
+                out |= {(i, item, tuple(w[s : s + window]), p) for p in range(len(x)) if x[p] in words and len(words & set(x[p : p + reach])) >= share * len(words) - 1e-9}
+    return out
+
+
+@pytest.mark.parametrize("share", [0.8, 0.6, 1.0])
+def test_proximity_against_brute_force(spark, planted, share):
+    """Passages with words changed, the rarest ones too, put in another order or left out."""
+    docs, tests = planted
+    rng, more = random.Random(8), []
+    for k in range(20):
+        w = (tests[k % 3][1]).split()[2:12]
+        for _ in range(k % 4):
+            w[rng.randrange(len(w))] = "other"
+        if k % 5 == 0:
+            rng.shuffle(w)
+        more.append((1000 + k, f"before it {' '.join(w)} behind it"))
+    docs = [*docs[:30], *more, (2000, None)]
+    a, b = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(tests, "item_id bigint, text string")
+    keys = d.keys_of(a, b, 10, share)
+    got = d.proximity_matches(d.build_index(a, keys, 11), keys, share, 12)
+    found = [(r["doc_id"], r["item_id"], tuple(r["win"]), r["first"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == near_places(docs, tests, 10, share, 12) and found
+    phrases = d.phrase_matches(d.build_index(a, keys, 9), keys).select("doc_id").distinct().count()
+    assert phrases == sum(n > 0 for _, n, _ in brute.contamination(docs, tests, 10).values())
 
 
 def test_the_index_holds_rare_terms_only(spark, planted):

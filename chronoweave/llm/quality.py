@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_texts, held_out, materialize, table, utf8
+from .common import fits, grouped_texts, held_out, materialize, table, utf8
 from .toxicity import BoostedTrees, Isotonic
 
-#: Labelled rows to learn from, about; groups up to BROADCAST_ROWS are broadcast, more are joined with SALT copies.
-TRAIN_ROWS, BROADCAST_ROWS, SALT = 8000, 50_000, 32
+#: Labelled rows to learn from, about; groups that are too large for a broadcast are joined with SALT copies.
+TRAIN_ROWS, SALT = 8000, 32
 #: A score from here on keeps the document.
 THRESHOLD = 0.5
 #: The weight of the site's log-odds against the document's own.
@@ -75,14 +75,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     n = labels.count()
     at = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string")), F.lit(1_000_000))
     chosen = labels.where(at < int(1_000_000 * min(1.0, TRAIN_ROWS / max(n, 1))) + 1).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # about TRAIN_ROWS rows of two numbers, so a broadcast is bounded
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    # about TRAIN_ROWS rows of two numbers, so a broadcast is bounded; one row an id, so the sample is, too
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(it):
         import pyarrow as pa
 
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").collect())
@@ -151,17 +151,16 @@ def site_rates(scored: DataFrame, host: Column, path: Column) -> tuple[DataFrame
     return both.select("_host", "_path", "n", "s", "prior", F.lit(a_path).alias("a")), mean
 
 
-def score(docs: DataFrame, model: QualityModel, host_col: str = "source", path_col: str = "lang", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs plus p_doc, path_rate, score and keep.
-
-    Defined results: null and empty texts get the classifier's answer for a text without words; null hosts and paths
-    are groups of their own; a path with one document has its host's rate; repeated rows count as often as they
-    stand; other columns pass unchanged unless they carry one of the new names, then the new values stand."""
-    scored = with_probability(docs, model, text_col)
-    scored = materialize(scored if keep_text else scored.drop(text_col), "scored")
-    sites, mean = site_rates(scored, F.col(host_col), F.col(path_col))
-    on = lambda a, b: a[host_col].eqNullSafe(b["_host"]) & a[path_col].eqNullSafe(b["_path"])
-    if sites.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def _scored(docs: DataFrame, model: QualityModel, host_col: str, path_col: str, text_col: str, keep_text: bool) -> DataFrame:
+    """The columns of docs by position (c0, c1, ...), so that none of their names can clash, and p_doc, path_rate, score,
+    keep."""
+    of = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    scored = with_probability(docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), model, of[text_col])
+    scored = materialize(scored if keep_text else scored.drop(of[text_col]), "scored")
+    host, path = of[host_col], of[path_col]
+    sites, mean = site_rates(scored, F.col(host), F.col(path))
+    on = lambda a, b: a[host].eqNullSafe(b["_host"]) & a[path].eqNullSafe(b["_path"])
+    if fits(sites):
         joined = scored.join(F.broadcast(sites), on(scored, sites))
     else:
         left = scored.withColumn("_salt", F.floor(F.rand(1) * SALT).cast("int"))
@@ -170,11 +169,28 @@ def score(docs: DataFrame, model: QualityModel, host_col: str = "source", path_c
     p = F.col("_p")
     others = (F.col("s") - p + F.col("a") * F.col("prior")) / (F.col("n") - 1 + F.col("a"))
     total = logit(p) + SITE_WEIGHT * (logit(others) - logit(F.lit(mean)))
-    names = [c for c in scored.columns if c not in ("_p", "p_doc", "path_rate", "score", "keep")]
-    out = joined.select(*[scored[c] for c in names], p.alias("p_doc"), others.alias("path_rate"), (1 / (1 + F.exp(-total))).alias("score"))
+    out = joined.select(*[F.col(c) for c in scored.columns if c != "_p"], p.alias("p_doc"), others.alias("path_rate"), (1 / (1 + F.exp(-total))).alias("score"))
     return out.withColumn("keep", F.col("score") >= THRESHOLD)
 
 
+def score(docs: DataFrame, model: QualityModel, host_col: str = "source", path_col: str = "lang", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs plus p_doc, path_rate, score and keep. ``documents`` has no URL: its host is ``source``, its path ``lang``.
+
+    Defined results: null and empty texts get the classifier's answer for a text without words; null hosts and paths
+    are groups of their own; a path with one document has its host's rate; repeated rows count as often as they
+    stand; a null id passes like any other value (and isn't learned from); other columns pass unchanged whatever their
+    names, unless they carry one of the new names, then the new values stand."""
+    out = _scored(docs, model, host_col, path_col, text_col, keep_text)
+    new = ["p_doc", "path_rate", "score", "keep"]
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in new and (keep_text or c != text_col)], *new)
+
+
+def kept(docs: DataFrame, model: QualityModel, host_col: str = "source", path_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the classifier keeps, with the columns of docs."""
+    out = _scored(docs, model, host_col, path_col, text_col, True).where("keep")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))

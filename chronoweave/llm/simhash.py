@@ -70,7 +70,8 @@ def signed(x: int) -> int:
 
 def links(fps: DataFrame, distance: int = DISTANCE, segments: int = 3) -> DataFrame:
     """fps: distinct (fp, node). Pairs (u, v) of nodes whose fingerprints differ in at most ``distance`` bits, each
-    pair once: it is taken in the first segment that is close enough."""
+    pair once: it is taken in the first segment that is close enough. Fingerprints with a segment in common meet under
+    one key; adaptive execution splits a large one, on either side of the join."""
     bounds = [64 * k // segments for k in range(segments + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
     radius = distance // segments
@@ -93,12 +94,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, fp, component_id (the least id reachable over links, itself included) for each row.
 
     Defined results: null and empty texts have fingerprint 0 and are linked like any others; equal fingerprints are
-    always linked; rows that repeat an id give one row each; other columns aren't read. Ids are integers."""
+    always linked; rows that repeat an id give one row each; a row with a null id links others like any row, and its
+    component_id is null only if no row in reach has an id; other columns aren't read."""
     rows = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("node")), "classes")
+    # the nodes of the graph are the fingerprints themselves, so ids may be anything
+    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     segments = segments or (2 if fps.count() >= TWO_SEGMENTS_FROM else 3)  # any number finds the same links
-    stars = components(links(fps, distance, segments))
-    of = fps.join(stars, F.col("node") == F.col("u"), "left").select("fp", F.coalesce("v", "node").alias("component_id"))
+    stars = components(links(fps.select("fp", F.col("fp").alias("node")), distance, segments))
+    roots = materialize(fps.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.select("fp", "root").join(least.hint("shuffle_hash"), "root").drop("root")
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 

@@ -20,9 +20,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grouped_texts, materialize, scratch, utf8
+from .common import discard, grouped_texts, materialize, scratch, small, utf8
 from .components import components
-from .linededup import BROADCAST_ROWS
 from .simhash import LOWER, SEED, links, majority
 
 #: About so many documents are sampled; shingles that COMMON of them hold, the MOST_COMMON commonest at most, come last.
@@ -146,9 +145,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: i
     with scratch() as s:
         pairs = materialize(_by_whole_sketches(pairs.distinct(), sketches, least), "similar-pairs")
         asked = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "asked")
-        # ids alone, so a counted number of rows has a bounded size; few asked for: only their texts are read
-        asked = asked.hint("shuffle_hash") if asked.count() > BROADCAST_ROWS else F.broadcast(asked)
-        there = materialize(_sets(docs.join(asked, "node", "left_semi"), shingle), "similar-sets")
+        # few asked for: only their texts leave the scan
+        there = materialize(_sets(docs.join(small(asked, "shuffle_hash"), "node", "left_semi"), shingle), "similar-sets")
         a = pairs.join(there.select(F.col("node").alias("u"), F.col("hs").alias("x")), "u")
         both = a.join(there.select(F.col("node").alias("v"), F.col("hs").alias("y")), "v")
         shared = both.select("u", "v", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("n"))

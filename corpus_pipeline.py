@@ -16,7 +16,7 @@ SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("keep").select(docs.columns)
+    return quality.kept(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    tests = table(spark, sf_dir, "benchmark")
-    wins = decontaminate.windows(tests)
-    keys = materialize(decontaminate.keyed(wins, decontaminate.term_counts(docs, wins)), "windows")
+    keys = decontaminate.keys_of(docs, table(spark, sf_dir, "benchmark"))
     hits = decontaminate.phrase_matches(decontaminate.build_index(docs, keys), keys).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
 

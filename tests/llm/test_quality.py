@@ -11,8 +11,7 @@ from chronoweave.llm.common import table
 @pytest.fixture()
 def as_text(monkeypatch):
     """The classifier's answer is the number that the text is."""
-    p = F.coalesce(F.col("text").cast("double"), F.lit(0.5))
-    monkeypatch.setattr(q, "with_probability", lambda docs, model, text_col: docs.withColumn("_p", p))
+    monkeypatch.setattr(q, "with_probability", lambda docs, model, text_col: docs.withColumn("_p", F.coalesce(F.col(text_col).cast("double"), F.lit(0.5))))
 
 
 @pytest.fixture(scope="module")
@@ -38,9 +37,9 @@ def strength(groups, mean):
     return min(max(within / max((between - (k - 1) * within) / n, 1e-9), 2.0), 10_000.0)
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
+@pytest.mark.parametrize("broadcast", [True, False])
 def test_posteriors_against_loops(spark, rows, monkeypatch, as_text, broadcast):
-    monkeypatch.setattr(q, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(q, "fits", lambda df: broadcast)
     groups = defaultdict(lambda: {"n": 0, "s": 0.0, "q": 0.0})
     p = {i: float(t or 0.5) for i, t, _, _ in rows}
     for i, _, host, path in rows:

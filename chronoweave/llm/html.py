@@ -1,19 +1,23 @@
-"""HTML extraction: marked articles by structure, other pages by nearest-URL page differencing.
-
-A page is cut into text blocks in page order; menus, headers, footers, sidebars, forms, scripts, styles, and elements
-whose class or id says advert, notice, comments and the like are left out on the way. If the page marks its article
-(``article`` or ``main``), the blocks in there are the text. Deleting shared lines there too would take away passages
-that articles quote or copy, which belong to the text, so differencing isn't used inside a marked article.
-
-Pages without such a mark are differenced: pages of a host lie in the order of their URL paths, each is paired with
-the neighbour whose path shares more with its own, the two line lists are aligned by longest common subsequence, and
-lines in it are deleted as the site's template. The order comes from a range sort, so a host of any size is spread
-over tasks. Places in it are cut into blocks, and a block also gets the page before and the page behind it, so the
-result doesn't depend on how the rows were dealt out.
+"""HTML extraction by nearest-URL page differencing, with marked articles protected.
+
+1. A page is cut into text blocks in page order, over a stack of open elements with the end tags that HTML implies.
+   Menus, headers, footers, sidebars, forms, scripts, styles, and elements whose class, id or role says advert, notice,
+   comments and the like are left out on the way. Blocks inside ``article`` or ``main`` are noted.
+2. Equal pages of a host (by a hash of their blocks) are one page, at the least of their URL paths. So the nearest page
+   always differs, however many copies lie side by side.
+3. Pages of a host lie in the order of their URL paths; each is paired with the neighbour whose path shares more with
+   its own. The two line lists are aligned by longest common subsequence, and lines in it are deleted as the site's.
+4. Structure protects an article: where a page marks one, its blocks stay, shared or not, and all others go. Without
+   that, passages that articles quote or copy would be lost.
+
+Lines are aligned by 64-bit hashes of their text; texts themselves stay where the page was read. The order comes from a
+range sort, so a host of any size is spread over tasks. Places in it are cut into blocks, and a block also gets the page
+before and the page behind it, so the result doesn't depend on how the rows were dealt out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from bisect import bisect_left
@@ -22,30 +26,62 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, small, table
 
 #: Pages in a row that one group of a task compares.
 BLOCK_PAGES = 500
-MARKED = r"(?i)<(article|main)[\s/>]"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
-HIDDEN = re.compile(r"(?i)\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+ATTRIBUTE = re.compile(r"(?i)([a-z_:@][-a-z0-9_:.@]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 #: Words of class, id or role that mark what isn't the article.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments reply replies respond disqus "
     "newsletter subscribe subscription signup login pagination pager toolbar search complementary contentinfo".split()
 )
+#: A name of several parts is noise if one part is, and the others say only what kind of box it is.
+BOXES = frozenset(
+    "area bar bottom box btn button buttons center container content element field form frame global group holder icons inner item items layer left line link links list main outer page panel "
+    "region right row section site slot space strip thread tool tools top unit wrap wrapper".split()
+)
+#: An article or main element is noise only by these.
+NOT_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 SKIP = frozenset("head script style noscript template nav footer aside form select button textarea iframe object svg canvas audio video dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
-
-
-def _noise(attributes: str) -> bool:
+#: Tags that end an open element without its end tag: those elements, and the elements they don't reach beyond.
+ENDS = {
+    **dict.fromkeys("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), (frozenset({"p"}), frozenset("button table td th caption object template".split()))),
+    "li": (frozenset({"li"}), frozenset("ul ol menu".split())),
+    "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "tr": (frozenset({"tr"}), frozenset({"table"})),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset({"tbody", "thead", "tfoot"}), frozenset({"table"}))),
+    "option": (frozenset({"option"}), frozenset({"select"})),
+}
+
+
+def _noise(tag: str, attributes: str) -> bool:
+    """Whether an element isn't shown, or its class, id or role says that it isn't the article's text."""
     for m in ATTRIBUTE.finditer(attributes):
-        if not NOISE.isdisjoint(re.split(r"[\s_\-\"']+", m[1].lower())):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and UNSEEN.search(value)):
             return True
+        if name not in ("class", "id", "role"):
+            continue
+        for word in value.split():
+            if tag in ("article", "main"):
+                if word in NOT_ARTICLES:
+                    return True
+            elif word in NOISE:
+                return True
+            elif "-" in word or "_" in word:
+                parts = [x for x in re.split(r"[-_]+", word) if x and not x.isdigit()]
+                if not NOISE.isdisjoint(parts) and all(x in NOISE or x in BOXES for x in parts):
+                    return True
     return False
 
 
@@ -55,28 +91,52 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     text: list[str] = []
     page = page or ""
     at, size = 0, len(page)
-    marked = 0  # open article and main elements
-    skip, depth = "", 0  # the element that is left out, and how many of its name are open
+    opened: list[str] = []  # elements that are open
+    marks: list[int] = []  # places of article and main among them
+    skip = -1  # the place of the element that is left out
+    count: dict[str, int] = defaultdict(int)  # how many of each name are open
 
     def end() -> None:
         if text:
             line = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if line:
-                out.append((line, marked > 0))
+                out.append((line, bool(marks)))
+
+    def close(k: int) -> None:
+        """The element at place k ends, and all inside it."""
+        nonlocal skip
+        for x in opened[k:]:
+            count[x] -= 1
+        del opened[k:]
+        if skip >= k:
+            skip = -1
+        while marks and marks[-1] >= k:
+            marks.pop()
+
+    def implied(tag: str) -> None:
+        which, bounds = ENDS[tag]
+        if not any(count[x] for x in which):
+            return
+        for k in range(len(opened) - 1, -1, -1):
+            if opened[k] in which:
+                close(k)
+                return
+            if opened[k] in bounds:
+                return
 
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            if not skip:
+            if skip < 0:
                 text.append(page[at:])
             break
-        if not skip and m.start() > at:
+        if skip < 0 and m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if m[0].startswith("<![CDATA[") and not skip:
+            if m[0].startswith("<![CDATA[") and skip < 0:
                 text.append(_html.escape(m[0][9:-3]))
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
@@ -84,30 +144,32 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             done = RAW[tag].search(page, at)
             at = done.end() if done else size
             continue
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else not attributes.endswith("/")
-                if not depth:
-                    skip = ""
-            elif skip == "head" and tag == "body":  # the head was never closed
-                skip = ""
-            continue
-        if tag in BLOCK:
+        if tag in BLOCK and skip < 0:
             end()
         if closing:
-            if tag in ("article", "main") and marked:
-                marked -= 1
+            for k in range(len(opened) - 1, -1, -1) if count[tag] else ():
+                if opened[k] == tag:
+                    close(k)
+                    break
+                if opened[k] in BLOCK and tag not in BLOCK:  # an inline end tag doesn't end blocks
+                    break
             continue
-        if tag in VOID:
+        if tag == "body" and count["head"]:  # the head was never closed
+            close(opened.index("head"))
+        if tag in ENDS:
+            implied(tag)
+        if tag in VOID or attributes.endswith("/"):
             continue
-        own_heading = tag == "header" and marked > 0
-        if tag in SKIP or (tag == "header" and not own_heading) or (attributes and tag not in ("html", "body", "main") and (HIDDEN.search(attributes) or _noise(attributes)) and not own_heading):
-            if not attributes.endswith("/"):
-                end()
-                skip, depth = tag, 1
+        opened.append(tag)
+        count[tag] += 1
+        if skip >= 0:
             continue
-        if tag in ("article", "main"):
-            marked += 1
+        own_heading = tag == "header" and bool(marks)
+        if tag in SKIP or (tag == "header" and not own_heading) or (attributes and tag not in ("html", "body") and not own_heading and _noise(tag, attributes)):
+            end()
+            skip = len(opened) - 1
+        elif tag in ("article", "main"):
+            marks.append(len(opened) - 1)
     end()
     return out
 
@@ -148,15 +210,14 @@ def shared_prefix(a: str, b: str) -> int:
 
 
 def _differenced(rows):
-    """rows: (block, own, page_id, url, host, path, lines) in order of block and place. Yields (page_id, url, text) of
-    the block's own pages."""
+    """rows: (block, own, row, host, path, lines) in order of block and place. Yields (row, places of the lines that the
+    nearest page shares) of the block's own pages."""
     before = current = None
 
     def done(row, left, right):
-        near = [x for x in (left, right) if x is not None and (x[0], x[4]) == (row[0], row[4])]
-        other = max(near, key=lambda x: shared_prefix(x[5], row[5]), default=None)
-        gone = common_lines(row[6], other[6]) if other else ()
-        return row[2], row[3], "\n".join(line for k, line in enumerate(row[6]) if k not in gone)
+        near = [x for x in (left, right) if x is not None and (x[0], x[3]) == (row[0], row[3])]
+        other = max(near, key=lambda x: shared_prefix(x[4], row[4]), default=None)
+        return row[2], sorted(common_lines(row[5], other[5])) if other else []
 
     for row in rows:
         if current is not None and current[1]:
@@ -167,9 +228,9 @@ def _differenced(rows):
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows: page_id, url, host, path, lines. Adds block and own, sorted by block and place: each page in its block,
-    and the pages at a block's ends once more in the next one, there as context only."""
-    keys = ["host", "path", "page_id"]
+    """rows: row, host, path, lines. Adds block and own, sorted by block and place: each page in its block, and
+    the pages at a block's ends once more in the next one, there as context only."""
+    keys = ["host", "path", "row"]
     placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
     placed = materialize(placed, "places")
     part = F.shiftright("at", 33)
@@ -185,44 +246,49 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     at = lambda b, own, ok: F.when(ok, F.struct(b.alias("block"), F.lit(own).alias("own")))
     first, last = (F.col("place") % size == 0) & (block > 0), F.col("place") % size == size - 1
     copies = F.array_compact(F.array(at(block, True, F.lit(True)), at(block - 1, False, first), at(block + 1, False, last)))
-    return ranked.select(F.inline(copies), "place", "page_id", "url", "host", "path", "lines").repartition("block").sortWithinPartitions("block", "place").drop("place")
+    return ranked.select(F.inline(copies), "place", "row", "host", "path", "lines").repartition("block").sortWithinPartitions("block", "place").drop("place")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each page.
+    """page_id, url, text, n_chars, marked (whether the page marks an article), n_blocks, n_shared (its blocks that the
+    nearest page shares) for each page.
 
-    Defined results: a null or empty page has an empty text; a null url is a host of its own; a page alone on its
-    host keeps its lines; repeated rows of an unmarked page delete each other's lines and are
-    therefore differenced once each; columns beside these three aren't read."""
+    Defined results: a null or empty page has an empty text; a null id or url stays null, and pages without a URL are a
+    host of their own; a page alone on its host keeps its lines; repeated rows and copies under other URLs have the text
+    that one of them would have; columns beside these three aren't read."""
     kind = pages.schema[id_col].dataType.simpleString()
-    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    marked = F.col("html").rlike(MARKED) | (F.col("html") == "")
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    origin = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"
+    pages = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, origin + r"([^/?#]*)", 1)).alias("host"),
+        F.regexp_replace(url, origin + r"[^/?#]*|[?#].*$", "").alias("path"), F.coalesce(html_col, F.lit("")).alias("html"),
+    )
 
     def read(it):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest as xxh
 
         for b in it:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(h.as_py()) for h in part.column(2)], pa.string())], ["page_id", "url", "text"])
-
-    def lines(it):
-        import pyarrow as pa
-
-        for b in it:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                got = [[x for x, _ in blocks(h.as_py())] for h in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.list_(pa.string()))], ["page_id", "url", "lines"])
+                got = [blocks(h.as_py()) for h in part.column(4)]
+                raw = [[x.encode("utf-8", "surrogatepass") for x, _ in g] for g in got]
+                digests = [hashlib.md5(b"\n".join(b"%d%s" % (y, x) for x, (_, y) in zip(r, g, strict=True))).digest() for r, g in zip(raw, got, strict=True)]
+                hashes = [[xxh(x) - (1 << 63) for x in r] for r in raw]
+                marked = [any(y for _, y in g) for g in got]
+                text = ["\n".join(x for x, y in g if y) if m else None for g, m in zip(got, marked, strict=True)]
+                lines = [None if m else [x for x, _ in g] for g, m in zip(got, marked, strict=True)]
+                more = [pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(marked), pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *more], ["page_id", "url", "host", "path", "digest", "hashes", "marked", "text", "lines"])
 
     def differ(it):
         import pyarrow as pa
 
-        rows = (tuple(b.column(c)[k].as_py() for c in range(7)) for b in it for k in range(b.num_rows))
+        rows = (tuple(b.column(c)[k].as_py() for c in range(6)) for b in it for k in range(b.num_rows))
         out = []
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], schema.types[c]) for c in range(3)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int32()))], ["row", "gone"])
 
         for row in _differenced(rows):
             out.append(row)
@@ -232,17 +298,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if out:
             yield batch()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType([*pages.schema.fields[:2], *StructType.fromDDL("text string").fields]))
-    direct = pages.where(marked).mapInArrow(read, f"page_id {kind}, url string, text string")
-    place = F.coalesce(F.col("url"), F.lit(""))
-    rest = pages.where(~marked).mapInArrow(lines, f"page_id {kind}, url string, lines array<string>")
-    rest = rest.select("page_id", "url", F.lower(F.regexp_extract(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"), F.regexp_replace(place, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*|[?#].*$", "").alias("path"), "lines")
-    rest = materialize(rest, "lines")  # the range sort samples it
-    diffed = _in_blocks(rest).select("block", "own", "page_id", "url", "host", "path", "lines").mapInArrow(differ, f"page_id {kind}, url string, text string")
-    return direct.union(diffed).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    with scratch() as s:
+        cut = pages.mapInArrow(read, f"page_id {kind}, url string, host string, path string, digest binary, hashes array<bigint>, marked boolean, text string, lines array<string>")
+        cut = s.keep(materialize(cut.withColumn("row", F.monotonically_increasing_id()), "lines"))
+        # one row stands for all equal pages of a host
+        heads = cut.groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("m")).select("host", "digest", F.col("m.row").alias("row"))
+        heads = materialize(heads, "distinct-pages")
+        placed = _in_blocks(cut.select("row", "host", "path", F.col("hashes").alias("lines")).join(heads.select("row").hint("shuffle_hash"), "row", "left_semi"))
+        shared = materialize(placed.select("block", "own", "row", "host", "path", "lines").mapInArrow(differ, "row long, gone array<int>"), "shared-lines")
+        shared = s.keep(materialize(heads.join(shared.hint("shuffle_hash"), "row").select("host", "digest", "gone"), "shared-of-pages"))
+    size = F.size("hashes")
+    left = F.array_except(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), "gone")
+    text = F.when(F.col("marked"), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    out = cut.join(small(shared, "shuffle_hash"), ["host", "digest"])
+    out = out.select("page_id", "url", text.alias("text"), "marked", size.cast("long").alias("n_blocks"), F.size("gone").cast("long").alias("n_shared"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked", "n_blocks", "n_shared")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ A gadget copies one row and one column of the transition table. The copies are k
 ``right`` and the time of the merge; an entry of the table is resolved through them once and then kept, so the
 automaton of 50k merges takes a few MB and not 50k x 50k entries.
 
-A word is encoded by running over its bytes: the state after i bytes is the last token of the only accepted path of
-that length. Decoding emits the byte labels of the arcs.
+Over bytes this automaton is made deterministic by the subset construction: a state holds, for each place where a
+label may still be going on, the token before it and the bytes of it so far. Of every beginning of a word there is just
+one accepted path, so each state also names that path's last token. States and transitions are made the first time a
+word needs them and kept in a table. A word is encoded by one table look-up a byte, with no way back; its codes are read
+off from the last byte. Decoding emits the byte labels of the arcs.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import grouped_texts, utf8
 
 #: Words kept with their codes in each Python worker; twice as many at most.
-KEPT_WORDS = 150_000
-KEPT_ARCS = 250_000
+KEPT_WORDS = 200_000
+#: Entries of the pair table and states over bytes that are kept; a full table is begun anew.
+KEPT_ARCS, KEPT_STATES = 250_000, 200_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -64,11 +68,24 @@ class MergeAutomaton:
         for t, label in enumerate(labels):
             if label and t in made:
                 self.ids.setdefault(label, t)
-        #: Labels and their beginnings: the token, or -1 if only longer labels begin so. shorter: the next shorter label.
-        self.trie = {label[:k]: -1 for label in self.ids for k in range(1, len(label))} | self.ids
-        self.shorter = [-1] * n
+        # the labels as a tree: (node << 8 | byte) -> node; the root is 0. token: the label that ends at a node, or -1
+        self.child: dict[int, int] = {}
+        self.token, inner = [-1], {0}
         for label, t in self.ids.items():
-            self.shorter[t] = next((self.ids[label[:k]] for k in range(len(label) - 1, 0, -1) if label[:k] in self.ids), -1)
+            node = 0
+            for byte in label:
+                key, at = node << 8 | byte, node
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.token)
+                    self.token.append(-1)
+                    inner.add(at)
+            self.token[node] = t
+        self.inner = bytearray(len(self.token))
+        for node in inner:
+            self.inner[node] = 1
+        self.length = [len(label) for label in labels]
+        self._forget()
         self.size = n
         self.arcs: dict[int, bool] = {}  # by first token * size + second token
 
@@ -97,36 +114,53 @@ class MergeAutomaton:
             else:  # the column was copied from that of the left part; a merge of equal parts takes the leftmost first
                 limit, t2 = b + 1, left[t2]
 
+    def _forget(self) -> None:
+        """Only the state before the first byte is left."""
+        self.table: dict[int, int] = {}  # (state << 8 | byte) -> state
+        self.going: list[tuple[int, ...]] = [(0,)]  # of each state: token before + 1 << 24 | node of the label
+        self.last = [-1]
+        self.states = {self.going[0]: 0}
+
+    def _step(self, state: int, byte: int) -> int:
+        """The transition of a state, made and kept. The label that began first is looked at first."""
+        found, going = -1, []
+        child, token, inner = self.child.get, self.token, self.inner
+        for x in self.going[state]:
+            node = child((x & 0xFFFFFF) << 8 | byte)
+            if node is None:
+                continue
+            t = token[node]
+            if t >= 0 and found < 0 and (x < 1 << 24 or self.arc((x >> 24) - 1, t)):
+                found = t
+            if inner[node]:
+                going.append(x & ~0xFFFFFF | node)
+        if found < 0:
+            raise ValueError("a byte without a token")
+        going.append(found + 1 << 24)
+        key = tuple(going)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.going)
+            self.going.append(key)
+            self.last.append(found)
+        self.table[state << 8 | byte] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the only accepted path over the word: the longest arc first, then shorter ones; positions from
-        which no path goes on are struck off, so the work is bounded by the word's length times the longest label."""
-        trie, arcs, arc, shorter, labels, size = self.trie.get, self.arcs.get, self.arc, self.shorter, self.labels, self.size
-        n, path, starts, dead, at, last = len(word), [], [], set(), 0, -1
-        t = -2
-        while at < n:
-            if t == -2:  # the longest label from here
-                t, e = -1, at + 1
-                while e <= n and (x := trie(word[at:e])) is not None:
-                    if x >= 0:
-                        t = x
-                    e += 1
-            while t >= 0:
-                ok = True if last < 0 else arcs(last * size + t)
-                if arc(last, t) if ok is None else ok:
-                    end = at + len(labels[t])
-                    if end not in dead:
-                        break
-                t = shorter[t]
-            if t >= 0:
-                path.append(t)
-                starts.append(at)
-                at, last, t = end, t, -2
-            else:
-                dead.add(at)
-                if not path:
-                    raise ValueError("a byte without a token")
-                at, t = starts.pop(), shorter[path.pop()]
-                last = path[-1] if path else -1
+        """The labels of the only accepted path over the word: a transition a byte, then the path from its end."""
+        if len(self.going) > KEPT_STATES:
+            self._forget()
+        step, last, ends, state = self.table.get, self.last, [], 0
+        for byte in word:
+            to = step(state << 8 | byte)
+            state = self._step(state, byte) if to is None else to
+            ends.append(last[state])
+        path, at, length = [], len(word), self.length
+        while at:
+            t = ends[at - 1]
+            path.append(t)
+            at -= length[t]
+        path.reverse()
         return path
 
     def decode(self, ids: list[int]) -> bytes:
@@ -169,6 +203,8 @@ class BytePairCoder:
         pre, model = spec["pre_tokenizer"], spec["model"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
+        if not pre.get("use_regex", True) or any(a.get(k) for a in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("words are split by the usual pattern, and added tokens stand for themselves alone")
         letters, vocab = byte_letters(), model["vocab"]
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.added.values()]) + 1

@@ -73,8 +73,8 @@ def identified(rows: DataFrame) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, db: int = 0, clock: Callable[[], int] = now_ms, cache: bool = True, lookback: int = LOOKBACK_MS):
-        self.spark, self.store, self.db, self.clock, self.lookback = spark, SeriesStore(spark, path), db, clock, lookback
+    def __init__(self, spark: SparkSession, path: str, db: int = 0, clock: Callable[[], int] = now_ms, cache: bool = True, lookback: int = LOOKBACK_MS, slot_days: int = 1):
+        self.spark, self.store, self.db, self.clock, self.lookback = spark, SeriesStore(spark, path, slot_days), db, clock, lookback
         self.log, self.cache, self._changes = QueryLog(), ResultCache(cache), 0
 
     # ---- series
@@ -202,7 +202,7 @@ class Engine:
         rows = self.store.samples().where(F.col("series_id") == row["series_id"])
         by_ts = options.get("by_ts")
         if by_ts is None and not options.get("retention_ms"):
-            rows = rows.where(F.col("day").between(start // 86_400_000, end // 86_400_000))
+            rows = rows.where(F.col("day").between(start // self.store.slot_ms, end // self.store.slot_ms))
         got = range_query(rows.select("series_id", "ts_ms", "value"), start, end, by=("series_id",), **options)
         return got.select("ts_ms", "value").orderBy("ts_ms")
 
@@ -213,13 +213,16 @@ class Engine:
         return (r["a"], r["b"]) if r["a"] is not None else (0, LATEST)
 
     def query(self, text: str, time: int | None = None, rounding: int | None = None) -> DataFrame:
-        """An instant query: (lk, ts_ms, value)."""
+        """An instant query: (lk, ts_ms, value). Only results at a given time are kept: "now" never comes again."""
         at = self.clock() if time is None else time
-        return self.cache.get((self._changes, text, at, rounding), lambda: planner.query(self.spark, self.store.source(self.db), text, at, self.lookback, rounding))
+        make = lambda: planner.query(self.spark, self.store.source(self.db), text, at, self.lookback, rounding)
+        return make() if time is None else self.cache.get((self._changes, text, at, rounding), make)
 
     def query_range(self, text: str, start: int | None = None, end: int | None = None, step: int = LOOKBACK_MS, rounding: int | None = None) -> DataFrame:
+        given = start is not None and end is not None
         start, end = range_bounds(start, end, self.clock())
-        return self.cache.get((self._changes, text, start, end, step, rounding), lambda: planner.query_range(self.spark, self.store.source(self.db), text, start, end, step, self.lookback, rounding))
+        make = lambda: planner.query_range(self.spark, self.store.source(self.db), text, start, end, step, self.lookback, rounding)
+        return self.cache.get((self._changes, text, start, end, step, rounding), make) if given else make()
 
     # ---- metadata
     def spans(self) -> DataFrame:
@@ -281,13 +284,34 @@ class Engine:
         self._changes += 1
         return self.store.delete_series(ids)
 
+    def key_event(self, kind: str, *keys: str) -> int:
+        """What the host of the keys reports: ``del``, ``unlink``, ``expired`` and ``evicted`` keys lose their series and
+        samples, ``rename`` gives (old key, new key), ``flush`` empties the database. Keys that aren't series are left
+        alone. Returns how many series are concerned."""
+        kind = kind.lower()
+        if kind in ("del", "unlink", "expire", "expired", "evict", "evicted", "trimmed"):
+            return self.delete_keys(*keys) if keys else 0
+        if kind == "rename":
+            old, new = keys
+            if not self.exists(old):
+                return 0
+            if self.exists(new):  # the key it takes is overwritten
+                self.delete_keys(new)
+            self.rename_series(old, new)
+            return 1
+        if kind in ("flush", "flushdb"):
+            n = self.series().count()
+            self.flush()
+            return n
+        raise ValueError(f"unknown key event {kind!r}")
+
     def compact(self) -> None:
         self.store.compact()
         self._changes += 1
 
     def snapshot(self, path: str) -> None:
         """All databases' series and samples as a folder of the same kind."""
-        SeriesStore(self.spark, path).save(self.store.series(), self.store.samples())
+        SeriesStore(self.spark, path, self.store.slot_ms // 86_400_000).save(self.store.series(), self.store.samples())
 
     def restore(self, path: str) -> None:
         other = SeriesStore(self.spark, path)

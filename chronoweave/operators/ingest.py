@@ -109,7 +109,7 @@ def append(series: DataFrame, samples: DataFrame, batch: DataFrame, last: DataFr
     both = there.unionByName(fresh)
     merged = both.groupBy("series_id", "ts_ms").agg(resolve(F.col("policy"), F.col("value"), F.col("seq")).alias("value"), F.min("seq").alias("_first"))
     floors = newest.join(policy, "series_id").where("retention_ms > 0").select("series_id", F.greatest(F.col("newest") - F.col("retention_ms"), F.lit(0)).alias("_floor"))
-    merged = merged.join(floors, "series_id", "left").where(F.col("ts_ms") >= F.coalesce("_floor", F.lit(0)))
+    merged = merged.join(floors, "series_id", "left").where(F.col("_floor").isNull() | (F.col("ts_ms") >= F.col("_floor")))
     after = samples.join(touched, "series_id", "left_anti").select("series_id", "ts_ms", "value").unionByName(merged.select("series_id", "ts_ms", "value"))
     # under block all but the first arrival at a timestamp are turned away
     firsts = both.where("policy = 'block'").groupBy("series_id", "ts_ms").agg(F.min("seq").alias("_seq"))

@@ -1,8 +1,17 @@
 """Stored series and samples as Parquet: samples by day, a small table of what each day holds of each series, and
-versions of the table of series. A change rewrites the days it touches and no other."""
+versions of the table of series.
+
+Files are never changed. Every change writes a new part (and perhaps a new table of series) and then one small manifest
+that names what counts from now on: the version of the table of series, the parts of each day, and the last batch of
+each stream. The manifest takes effect by one rename, so a writer that dies in between leaves the state before it, and
+readers of the state before go on reading it.
+
+A day has a base part and small ones from later appends, whose samples take the place of those before at the same series
+and timestamp; they are put together on reading, and for good when a day has MOST_PARTS of them."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -15,8 +24,10 @@ from ..operators import ingest
 from ..operators.selectors import Selector, predicate
 
 DAY_MS = 86_400_000
-#: Selected series up to this number are broadcast to the scan of samples; more go through a shuffle join.
-BROADCAST_SERIES = 200_000
+#: Selected series up to so many bytes of label strings are broadcast to the scan of samples; more go through a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Parts of a day that are read together; one more puts them together. Series of a batch that are named to the scan.
+MOST_PARTS, NAMED_SERIES = 12, 200
 SPANS = "series_id bigint, n bigint, first_ts bigint, last_ts bigint, last_value double"
 BATCH = SAMPLES + ", seq bigint"
 
@@ -32,10 +43,6 @@ def label_of(name: str) -> Column:
     return F.coalesce(F.col("metric") if name == NAME else F.try_element_at("labels", F.lit(name)), F.lit(""))
 
 
-def day_of(ts: Column) -> Column:
-    return F.floor(ts / DAY_MS).cast("bigint")
-
-
 def spans_of(samples: DataFrame, *by: str) -> DataFrame:
     return samples.groupBy("series_id", *by).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.max_by("value", "ts_ms").alias("last_value"))
 
@@ -49,6 +56,7 @@ class StoreSource:
     samples_df: DataFrame
     db: int = 0
     spans_df: DataFrame | None = None
+    slot_ms: int = DAY_MS
 
     def selected(self, selectors: Sequence[Selector]) -> DataFrame:
         return self.series_df.where(F.col("db") == self.db).where(predicate(selectors, label_of, lambda n: F.col("metric") if n == NAME else None))
@@ -57,9 +65,9 @@ class StoreSource:
         chosen = with_identity(self.selected(selectors)).select("series_id", "lk")
         samples = self.samples_df
         if "day" in samples.columns:
-            samples = samples.where(F.col("day").between(start // DAY_MS, end // DAY_MS))
+            samples = samples.where(F.col("day").between(start // self.slot_ms, end // self.slot_ms))
         samples = samples.where(F.col("ts_ms").between(start, end))
-        if chosen.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES:
+        if (chosen.agg(F.sum(F.octet_length("lk").cast("bigint") + 24)).first()[0] or 0) <= BROADCAST_BYTES:
             chosen = F.broadcast(chosen)
         return samples.join(chosen, "series_id").select("lk", "ts_ms", "value")
 
@@ -73,18 +81,22 @@ class StoreSource:
 
 
 class SeriesStore:
-    """A folder with ``series/v=N`` (the highest finished N counts), ``samples/day=D`` sorted by series and time, so
-    that a range reads few files and few row groups, and ``spans/day=D`` with counts and bounds. One writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        if self.version() < 0:
+    """A folder with ``manifest/N.json`` (the highest N counts), ``series/v=K``, and ``samples/part=P/day=D``, sorted by
+    series and time so that a range reads few row groups, with counts and bounds in ``spans/part=P/day=D``. One writer at
+    a time; any number of readers."""
+
+    def __init__(self, spark: SparkSession, path: str, slot_days: int = 1):
+        """slot_days: what counts as a "day" of a new folder. Series that are sparse over many years take longer ones."""
+        self.spark, self.path, self.slot_ms = spark, path.rstrip("/"), DAY_MS * slot_days
+        if self.version() >= 0:
+            self.slot_ms = self.manifest()["slot_ms"]
+        else:
             self.save(spark.createDataFrame([], SERIES), spark.createDataFrame([], SAMPLES))
 
     # ---- files
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
     def _names(self, folder: str) -> list[str]:
         fs, p = self._fs(f"{self.path}/{folder}")
@@ -94,15 +106,54 @@ class SeriesStore:
         fs, p = self._fs(f"{self.path}/{folder}")
         fs.delete(p, True)
 
+    def day_of(self, ts: Column) -> Column:
+        return F.floor(ts / self.slot_ms).cast("bigint")
+
+    # ---- manifests
     def _versions(self) -> list[int]:
-        done = lambda n: (lambda fs, p: fs.exists(p))(*self._fs(f"{self.path}/series/{n}/_SUCCESS"))
-        return sorted(int(n[2:]) for n in self._names("series") if n.startswith("v=") and done(n))
+        return sorted(int(n[:-5]) for n in self._names("manifest") if n.endswith(".json") and n[:-5].isdigit())
 
     def version(self) -> int:
         return max(self._versions(), default=-1)
 
+    def manifest(self, version: int | None = None) -> dict:
+        """series: the version of its table; days: the parts of each day, oldest first; streams: their last batches."""
+        version = self.version() if version is None else version
+        if version < 0:
+            return {"series": -1, "days": {}, "streams": {}, "slot_ms": self.slot_ms}
+        fs, p = self._fs(f"{self.path}/manifest/{version}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _commit(self, **changes: object) -> None:
+        """A new manifest with these changes; what neither it nor the one before names is deleted."""
+        versions = self._versions()
+        before = self.manifest(versions[-1]) if versions else self.manifest(-1)
+        after = {**before, **changes}
+        n = max(versions, default=-1) + 1
+        fs, made = self._fs(f"{self.path}/manifest/{uuid.uuid4().hex}.tmp")
+        stream = fs.create(made, True)
+        stream.write(bytearray(json.dumps(after).encode()))
+        stream.close()
+        if not fs.rename(made, self._fs(f"{self.path}/manifest/{n}.json")[1]):
+            raise OSError(f"manifest {n} couldn't be written: is there another writer?")
+        for old in versions[:-1]:
+            self._delete(f"manifest/{old}.json")
+        named = {p for m in (before, after) for parts in m["days"].values() for p in parts}
+        for folder in ("samples", "spans"):
+            for name in self._names(folder):
+                if name.startswith("part=") and name[5:] not in named:
+                    self._delete(f"{folder}/{name}")
+        for name in self._names("series"):
+            if name.startswith("v=") and int(name[2:]) not in (before["series"], after["series"]):
+                self._delete(f"series/{name}")
+
     def staged(self, df: DataFrame) -> DataFrame:
-        """Written beside the tables and read again, so that a table can be overwritten by what was read from it."""
+        """Written beside the tables and read again, so that it is worked out once."""
         at = f"{self.path}/staging/{uuid.uuid4().hex}"
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
@@ -112,65 +163,108 @@ class SeriesStore:
 
     # ---- tables
     def series(self) -> DataFrame:
-        return self.spark.read.schema(SERIES).parquet(f"{self.path}/series/v={self.version()}")
-
-    def samples(self) -> DataFrame:
-        return self.spark.read.schema(SAMPLES + ", day bigint").parquet(f"{self.path}/samples")
+        return self.spark.read.schema(SERIES).parquet(f"{self.path}/series/v={self.manifest()['series']}")
+
+    def _read(self, table: str, schema: str, by: tuple[str, ...], days: Iterable[int] | None = None) -> DataFrame:
+        """Rows of a table with their day; of rows with the same ``by`` on a day of several parts the newest."""
+        live = {int(d): parts for d, parts in self.manifest()["days"].items()}
+        if days is not None:
+            live = {d: live[d] for d in days if d in live}
+        full, base = f"{schema}, day bigint", f"{self.path}/{table}"
+        at = lambda several: [f"{base}/part={p}/day={d}" for d, parts in sorted(live.items()) for p in parts if (len(parts) > 1) == several]
+        read = lambda paths: self.spark.read.schema(f"{full}, part string").option("basePath", base).parquet(*paths)
+        names = [c.split()[0] for c in full.split(", ")]
+        out = read(at(False)).select(names) if at(False) else self.spark.createDataFrame([], full)
+        if at(True):
+            rest = [n for n in names if n not in (*by, "day")]
+            newest = read(at(True)).groupBy(*by, "day").agg(F.max_by(F.struct(*rest), "part").alias("_x"))
+            out = out.unionByName(newest.select(*by, "day", "_x.*"))
+        return out
+
+    def samples(self, days: Iterable[int] | None = None) -> DataFrame:
+        return self._read("samples", SAMPLES, ("series_id", "ts_ms"), days)
 
     def spans(self) -> DataFrame:
-        return self.spark.read.schema(SPANS + ", day bigint").parquet(f"{self.path}/spans")
+        return self._read("spans", SPANS, ("series_id",))
 
     def source(self, db: int = 0) -> StoreSource:
-        return StoreSource(self.series(), self.samples(), db, self.spans())
+        return StoreSource(self.series(), self.samples(), db, self.spans(), self.slot_ms)
+
+    def _write_series(self, series: DataFrame) -> int:
+        n = max([self.manifest()["series"], *(int(x[2:]) for x in self._names("series") if x.startswith("v="))]) + 1
+        series.select(*[c.split()[0] for c in SERIES.split(", ")]).write.parquet(f"{self.path}/series/v={n}")
+        return n
 
     def save_series(self, series: DataFrame) -> None:
         """A new version; the one before stays for those who read it."""
-        versions = self._versions()
-        n = max(versions, default=-1) + 1
-        series.select(*[c.split()[0] for c in SERIES.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/series/v={n}")
-        for old in versions[:-1]:
-            self._delete(f"series/v={old}")
+        self._commit(series=self._write_series(series))
 
     def save(self, series: DataFrame, samples: DataFrame) -> None:
-        """All of it: a snapshot. Neither may be read from this store."""
-        self.save_series(series)
-        for table in ("samples", "spans"):
-            self._delete(table)
-        self._write_days(samples)
-
-    def _write_days(self, samples: DataFrame) -> None:
-        days = samples.select("series_id", "ts_ms", "value").withColumn("day", day_of(F.col("ts_ms")))
+        """All of it: a snapshot."""
+        samples = self.staged(samples.select("series_id", "ts_ms", "value"))
+        part, days = self._write_part(samples, spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+        self._commit(series=self._write_series(series), days={str(d): [part] for d in days}, streams={})
+
+    def _write_part(self, samples: DataFrame, spans: DataFrame) -> tuple[str, list[int]]:
+        """Stored samples (and spans with their day) as a new part. Names of parts sort in the order of writing."""
+        part = f"{self.version() + 1:012d}-{uuid.uuid4().hex[:8]}"
+        days = samples.select("series_id", "ts_ms", "value").withColumn("day", self.day_of(F.col("ts_ms")))
         # a range split, not a hash by day: a busy day is spread over several files
         ordered = days.repartitionByRange("day", "series_id", "ts_ms").sortWithinPartitions("day", "series_id", "ts_ms")
-        for table, rows in (("samples", ordered), ("spans", spans_of(days, "day"))):
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/{table}")
-
-    def replace_days(self, samples: DataFrame, days: Iterable[int]) -> None:
-        """``samples`` is all that these days hold from now on. Samples are staged first."""
-        staged = self.staged(samples.select("series_id", "ts_ms", "value"))
-        left = {r[0] for r in staged.select(day_of(F.col("ts_ms"))).distinct().toLocalIterator()}
-        self._write_days(staged)
-        for day in set(days) - left:
-            for table in ("samples", "spans"):
-                self._delete(f"{table}/day={day}")
+        for table, rows in (("samples", ordered), ("spans", spans)):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{self.path}/{table}/part={part}")
+        return part, sorted(int(n[4:]) for n in self._names(f"samples/part={part}") if n.startswith("day="))
+
+    def _with_days(self, samples: DataFrame, days: Iterable[int]) -> dict[str, list[str]]:
+        """The days of a manifest in which ``samples`` (stored) is all that these days hold."""
+        part, there = self._write_part(samples, spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+        kept = {d: parts for d, parts in self.manifest()["days"].items() if int(d) not in set(days)}
+        return {**kept, **{str(d): [part] for d in there}}
+
+    def replace_days(self, samples: DataFrame, days: Iterable[int], **changes: object) -> None:
+        """``samples`` is all that these days hold from now on."""
+        days = list(days)
+        self._commit(days=self._with_days(self.staged(samples.select("series_id", "ts_ms", "value")), days), **changes)
 
     def of_days(self, days: Iterable[int]) -> DataFrame:
-        return self.samples().where(F.col("day").isin(sorted(days))).select("series_id", "ts_ms", "value")
+        return self.samples(sorted(days)).select("series_id", "ts_ms", "value")
 
     def days_between(self, start: int, end: int) -> list[int]:
-        """The stored days that a range touches, from the folders' names."""
-        have = [int(n[4:]) for n in self._names("samples") if n.startswith("day=")]
-        return sorted(d for d in have if start // DAY_MS <= d <= end // DAY_MS)
+        """The stored days that a range touches, from the manifest."""
+        return sorted(d for d in map(int, self.manifest()["days"]) if start // self.slot_ms <= d <= end // self.slot_ms)
 
     # ---- changes
-    def append(self, batch: DataFrame) -> DataFrame:
-        """batch: series_id, ts_ms, value, seq (order of arrival). Returns the status of each row, stored."""
+    def append(self, batch: DataFrame, stream: str | None = None, number: int = 0) -> DataFrame | None:
+        """batch: series_id, ts_ms, value, seq (order of arrival). Returns the status of each row, stored. Of a stream a
+        batch whose number was taken before isn't taken again (None): the number is in the manifest that takes it.
+
+        Only what the batch changes is written: its samples as they are after it, and spans of its series."""
+        streams = self.manifest()["streams"]
+        if stream is not None and streams.get(stream, -1) >= number:
+            return None
         batch = self.staged(batch.select("series_id", "ts_ms", "value", F.col("seq").cast("bigint").alias("seq")))
-        days = [r[0] for r in batch.select(day_of(F.col("ts_ms"))).distinct().toLocalIterator() if r[0] is not None]
+        days = [r[0] for r in batch.select(self.day_of(F.col("ts_ms"))).distinct().toLocalIterator() if r[0] is not None]
         last = self.spans().groupBy("series_id").agg(F.max("last_ts").alias("last_ts"))
-        after, status = ingest.append(self.series(), self.of_days(days), batch, last)
-        status = self.staged(status)
-        self.replace_days(after, days)
+        series, there = self.series(), self.of_days(days)
+        ids = batch.select("series_id").distinct()
+        named = [r[0] for r in ids.limit(NAMED_SERIES + 1).collect()]
+        mine = series.join(ids, "series_id", "left_semi")
+        after_streams = {**streams, stream: number} if stream is not None else streams
+        if mine.where("retention_ms > 0").limit(1).count():  # old samples of these days may go, too
+            after, status = ingest.append(series, there, batch, last)
+            status = self.staged(status)
+            self.replace_days(after, days, streams=after_streams)
+            return status
+        there = there.where(F.col("series_id").isin(named)) if len(named) <= NAMED_SERIES else there.join(ids, "series_id", "left_semi")
+        after, status = ingest.append(series, there, batch, last)
+        status, after = self.staged(status), self.staged(after)
+        changed = self.staged(after.join(batch.select("series_id", "ts_ms").distinct(), ["series_id", "ts_ms"], "left_semi"))
+        part, wrote = self._write_part(changed, spans_of(after.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+        of = self.manifest()["days"]
+        self._commit(days={**of, **{str(d): [*of.get(str(d), []), part] for d in wrote}}, streams=after_streams)
+        full = [d for d in wrote if len(self.manifest()["days"][str(d)]) > MOST_PARTS]
+        if full:
+            self.replace_days(self.of_days(full), full)
         return status
 
     def delete_range(self, ids: DataFrame, start: int, end: int) -> int:
@@ -185,19 +279,20 @@ class SeriesStore:
         return gone
 
     def delete_series(self, ids: DataFrame) -> int:
+        """Series and their samples go in one step."""
         ids = self.staged(ids.select("series_id").distinct())
         gone = self.series().join(ids, "series_id", "left_semi").count()
         if gone:
             days = [r[0] for r in self.spans().join(ids, "series_id", "left_semi").select("day").distinct().toLocalIterator()]
-            self.save_series(self.staged(self.series().join(ids, "series_id", "left_anti")))
-            self.replace_days(self.of_days(days).join(ids, "series_id", "left_anti"), days)
+            rows = self.staged(self.of_days(days).join(ids, "series_id", "left_anti"))
+            self._commit(series=self._write_series(self.series().join(ids, "series_id", "left_anti")), days=self._with_days(rows, days))
         return gone
 
     def compact(self, days: Iterable[int] | None = None) -> None:
         """Rewrite days into few sorted files, without samples older than their series' retention."""
-        days = self.days_between(0, 1 << 60) if days is None else list(days)
+        days = self.days_between(-(1 << 60), 1 << 60) if days is None else list(days)
         newest = self.spans().groupBy("series_id").agg(F.max("last_ts").alias("newest"))
         floors = self.series().where("retention_ms > 0").join(newest, "series_id").select("series_id", F.greatest(F.col("newest") - F.col("retention_ms"), F.lit(0)).alias("_floor"))
-        rows = self.of_days(days).join(floors, "series_id", "left").where(F.col("ts_ms") >= F.coalesce("_floor", F.lit(0)))
+        rows = self.of_days(days).join(floors, "series_id", "left").where(F.col("_floor").isNull() | (F.col("ts_ms") >= F.col("_floor")))
         self.replace_days(rows, days)
         self.clear_staging()

@@ -18,18 +18,12 @@ def with_event_time(stream: DataFrame) -> DataFrame:
 
 def sink(stream: DataFrame, store: SeriesStore, checkpoint: str, name: str = "ingest") -> DataStreamWriter:
     """A writer of series_id, ts_ms, value (and seq, if the order of arrival in a batch is known) into the store: each
-    micro-batch is one append, by the rules of each series. A batch that was finished before a restart isn't taken
-    again, so a sum isn't counted twice; the mark is written after the batch, and a batch cut short is redone whole
-    (for all policies but ``sum`` that gives the same samples)."""
+    micro-batch is one append, by the rules of each series. The batch's number takes effect together with its samples, so
+    after a restart a batch is taken once, whatever the policy."""
 
     def write(batch: DataFrame, number: int) -> None:
-        mark = f"commits/{name}/{number}"
-        fs, path = store._fs(f"{store.path}/{mark}")
-        if fs.exists(path):
-            return
         rows = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
-        store.append(rows)
-        fs.create(path, True).close()
+        store.append(rows, name, number)
         store.clear_staging()
 
     return stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)

@@ -156,3 +156,8 @@ promql(
     windowed("metric IN ('click', 'view')", 2, "SELECT metric, usr, g AS ts_ms, arg_max(v, t) AS value FROM w GROUP BY ALL"),
     labels=(NAME, "user"),
 )
+# windows of many steps are made of panes
+LONG = 7
+for _f in ("count_over_time", "avg_over_time", "max_over_time", "increase", "rate", "delta", "deriv_fast", "resets", "changes", "increases_over_time", "ascent_over_time", "descent_over_time", "integrate", "scrape_interval"):
+    _call, _agg, _digits = FUNCTIONS[_f]
+    promql(f"q_roll_long_{_f}", _call.format(f=_f, m=f"purchase[{LONG}d]"), windowed(WHERE, LONG, f"SELECT usr, g AS ts_ms, {_agg} AS value FROM w GROUP BY usr, g"), digits=_digits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,12 +13,25 @@ from .scan import between, filter_by_ts, filter_by_value
 
 EMPTY = {"sum": 0.0, "count": 0.0}
 AGGREGATORS = ("first", "last", "min", "max", "avg", "sum", "count", "range", "std.p", "std.s", "var.p", "var.s")
+#: Aggregators that a user adds: a function of the value and timestamp columns that gives an aggregate.
+OWN: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def register_aggregator(name: str, make: Callable[[Column, Column], Column], empty: float = NAN) -> None:
+    """From now on RANGE knows the aggregator ``name``. empty: the value of a filled-in bucket."""
+    name = name.lower()
+    if name in AGGREGATORS:
+        raise ValueError(f"{name!r} is built in")
+    OWN[name] = make
+    EMPTY[name] = empty
 
 
 def aggregator(name: str, value: Column, ts: Column, scale: int | None = None) -> Column:
     """One of AGGREGATORS as an aggregate. scale: the values have so many decimals at most; sums are then exact and
     don't depend on the order of rows, and variances use the two-sum formula on them."""
     name = name.lower()
+    if name in OWN:
+        return OWN[name](value, ts)
     n = F.count(value)
     if scale is None:
         total, pop, samp = F.sum(value), F.var_pop(value), F.var_samp(value)
@@ -61,7 +74,7 @@ class Aggregation:
     label: str = "start"  # start (or -), mid, end (or +)
 
     def __post_init__(self) -> None:
-        if self.function.lower() not in AGGREGATORS:
+        if self.function.lower() not in (*AGGREGATORS, *OWN):
             raise ValueError(f"unknown aggregator {self.function!r}")
         if self.width <= 0:
             raise ValueError("a bucket must have a positive width")
@@ -126,3 +139,39 @@ def first_rows(df: DataFrame, count: int | None, by: Sequence[str]) -> DataFrame
         raise ValueError("COUNT must be positive")
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("ts_ms")))
     return ranked.where(F.col("_n") <= count).drop("_n")
+
+
+# ---- partial states: kept in a table, and put together with what comes later
+_STATE = ("n", "total", "squares", "low", "high", "first_ts", "first", "last_ts", "last")
+
+
+def bucket_states(samples: DataFrame, width: int, align: int = 0, by: Sequence[str] = ("lk",)) -> DataFrame:
+    """(by..., ts_ms, n, total, squares, low, high, first_ts, first, last_ts, last): of each bucket as much as every one of
+    AGGREGATORS needs. States of parts of the data can be stored and merged in any order."""
+    v, t = F.col("value"), F.col("ts_ms")
+    return samples.groupBy(*by, bucket_start(t, width, align).alias("_b")).agg(
+        F.count(v).alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), min_or_nan(v).alias("low"), max_or_nan(v).alias("high"),
+        F.min(t).alias("first_ts"), F.min_by(v, t).alias("first"), F.max(t).alias("last_ts"), F.max_by(v, t).alias("last"),
+    ).withColumnRenamed("_b", "ts_ms")
+
+
+def merge_states(states: DataFrame, by: Sequence[str] = ("lk",)) -> DataFrame:
+    """One state for each bucket out of several."""
+    return states.groupBy(*by, "ts_ms").agg(
+        *[F.sum(c).alias(c) for c in _STATE[:3]], min_or_nan(F.col("low")).alias("low"), max_or_nan(F.col("high")).alias("high"),
+        F.min("first_ts").alias("first_ts"), F.min_by("first", "first_ts").alias("first"), F.max("last_ts").alias("last_ts"), F.max_by("last", "last_ts").alias("last"),
+    )
+
+
+def from_states(states: DataFrame, function: str) -> DataFrame:
+    """The states with a column ``value``, what the aggregator gives for all samples that went into them."""
+    n, total = F.col("n"), F.col("total")
+    m2 = F.greatest(F.col("squares") - total * total / n, F.lit(0.0))
+    one = lambda c: F.when(n == 1, 0.0).otherwise(c)
+    table = {
+        "first": F.col("first"), "last": F.col("last"), "min": F.col("low"), "max": F.col("high"), "avg": total / n, "sum": total, "count": n.cast("double"), "range": F.col("high") - F.col("low"),
+        "std.p": F.sqrt(m2 / n), "std.s": one(F.sqrt(m2 / F.when(n > 1, n - 1))), "var.p": m2 / n, "var.s": one(m2 / F.when(n > 1, n - 1)),
+    }
+    if function.lower() not in table:
+        raise ValueError(f"unknown aggregator {function!r}")
+    return states.withColumn("value", table[function.lower()])

@@ -20,7 +20,7 @@ from . import labels as L
 from . import rollups as R
 from . import transforms as T
 from .ast import Aggregate, Binary, Call, Duration, Node, Number, Series, Subquery, Text, Unary
-from .parser import parse
+from .parser import AGGREGATES, OWN_AGGREGATES, parse
 
 MOST_POINTS = 1_000_000
 #: From so many grid points a window on, samples are first summed up in panes of one step, where the function allows.
@@ -187,6 +187,8 @@ class Planner:
         if steps:
             before = Window.partitionBy("lk").orderBy("t")
             rows = rows.withColumn("pt", F.lag("t").over(before)).withColumn("pv", F.lag("v").over(before))
+        if name in R.STEP_PANES and at is None and d % self.step == 0 and d // self.step >= PANES_FROM:
+            return self._named(self._paned_steps(rows, name, d, offset, reach(d)), name, keep)
         rows = self.fanned(rows, d, offset, at)
         w = R.W(F.col("v"), F.col("t"), F.col("g") - offset, d, args, texts, F.col("pv") if steps else None, F.col("pt") if steps else None, reach(d))
         if name in R.BY_VALUE:
@@ -219,6 +221,25 @@ class Planner:
         got = spread.groupBy("lk", "i").agg(R.PANES[name]().cast("double").alias("v")).where(F.col("v").isNotNull())
         return got.select("lk", (F.lit(self.start).cast("bigint") + F.col("i") * self.step).alias("g"), "v")
 
+    def _paned_steps(self, rows: DataFrame, name: str, d: int, offset: int, reach: int) -> DataFrame:
+        """The same of functions of steps. Whether the sample before counts depends on the point only if it lies far
+        back, between ``reach`` and ``reach + d`` before its successor; those few samples are fanned out to their points,
+        all others to panes."""
+        long, start = lambda x: F.lit(x).cast("bigint"), self.start
+        t, gap = F.col("t") + offset, F.col("t") - F.col("pt")
+        k = F.ceil((t - start) / self.step).cast("bigint")
+        reaches = lambda c: F.least(c + d // self.step - 1, long(self.n - 1))
+        rows = rows.withColumn("k", k).where((reaches(F.col("k")) >= 0) & (F.col("k") < self.n))
+        far = F.coalesce((gap > reach) & (gap < d + reach), F.lit(False))
+        points = F.sequence(F.greatest(F.col("k"), long(0)), reaches(F.col("k")))
+        rows = rows.select("lk", "t", "v", "pt", "pv", "k", F.explode(F.when(far, points).otherwise(F.array(F.lit(None).cast("bigint")))).alias("i"))
+        w = R.W(F.col("v"), F.col("t"), long(start) + F.col("i") * self.step - offset, d, [], [], F.col("pv"), F.col("pt"), reach)
+        ok = F.coalesce(F.when(F.col("i").isNull(), gap <= reach).otherwise(w.ok), F.lit(False))
+        panes = rows.groupBy("lk", "k", "i").agg(*R.step_pane_columns(w, ok))
+        at = F.when(F.col("i").isNull(), F.sequence(F.greatest(F.col("k"), long(0)), reaches(F.col("k")))).otherwise(F.array("i"))
+        got = panes.withColumn("i", F.explode(at)).groupBy("lk", "i").agg(R.STEP_PANES[name]().cast("double").alias("v")).where(F.col("v").isNotNull())
+        return got.select("lk", (long(start) + F.col("i") * self.step).alias("g"), "v")
+
     def _named(self, out: DataFrame, name: str, keep: bool) -> Vector:
         if keep or name in R.KEEP_NAME:
             return Vector(out)
@@ -618,6 +639,7 @@ class Planner:
             "stddev": lambda: F.stddev_pop(v), "stdvar": lambda: F.var_pop(v), "median": lambda: F.percentile(v, 0.5), "mode": lambda: F.mode(v, True),
             "quantile": lambda: R.quantile(v, self.const(params[0])),
         }
+        simple |= {n: (lambda f=f: f(v)) for n, f in _OWN_AGGREGATES.items()}
         if name in simple:
             return vec.groupBy("gl", "g").agg(simple[name]().cast("double").alias("v")).select(F.col("gl").alias("lk"), "g", "v").where(F.col("v").isNotNull())
         if name == "distinct":  # two combined aggregates, not a set of values in one row
@@ -639,7 +661,7 @@ class Planner:
         if name.startswith(("topk_", "bottomk_")):
             return self._ranked_series(name, params, vec)
         if name == "limitk":
-            series = vec.select("gl", "lk").distinct().withColumn("r", F.row_number().over(Window.partitionBy("gl").orderBy(F.xxhash64("lk"), "lk")))
+            series = vec.select("gl", "lk").distinct().withColumn("r", F.row_number().over(Window.partitionBy("gl").orderBy(F.md5("lk"), "lk")))
             return vec.join(series.where(F.col("r") <= int(self.const(params[0]))), "lk", "left_semi").select("lk", "g", "v")
         if name in ("share", "zscore", "outliers_iqr"):
             stats = {
@@ -792,6 +814,17 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+_OWN_AGGREGATES: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_aggregate(name: str, make: Callable[[Column], Column]) -> None:
+    """From now on queries know the aggregate ``name`` over series: a function of the column of values."""
+    if name in AGGREGATES or name in R.NAMES:
+        raise ValueError(f"{name!r} is there already")
+    _OWN_AGGREGATES[name] = make
+    OWN_AGGREGATES.add(name)
+
+
 def query_range(spark: SparkSession, source: Source, text: str, start: int, end: int, step: int, lookback: int = LOOKBACK_MS, rounding: int | None = None) -> DataFrame:
     """(lk, ts_ms, value) of a query on the grid start, start + step, ..., end."""
     got = Planner(spark, source, start, end, step, lookback).run(text)

@@ -228,15 +228,28 @@ SEVERAL: dict[str, Callable[[W], list[tuple[str, Column]]]] = {
 #: Functions of one window that group by the value too.
 BY_VALUE = ("count_values_over_time", "histogram_over_time")
 ABSENT = ("absent_over_time",)
-NAMES = frozenset([*PLAIN, *STEPS, *SEVERAL, *BY_VALUE, *ABSENT])
+NAMES = {*PLAIN, *STEPS, *SEVERAL, *BY_VALUE, *ABSENT}
 #: Results that are still the metric's own quantity keep its name.
-KEEP_NAME = frozenset(
+KEEP_NAME = set(
     "default_rollup avg_over_time first_over_time last_over_time geomean_over_time hoeffding_bound_lower hoeffding_bound_upper holt_winters double_exponential_smoothing "
     "iqr_over_time max_over_time min_over_time median_over_time mode_over_time predict_linear quantile_over_time quantiles_over_time rollup rollup_candlestick timestamp_with_name".split()
 )
 #: Which argument is the series (others: the last for those that take numbers first, else the first).
 NUMBERS_FIRST = frozenset("quantile_over_time quantiles_over_time hoeffding_bound_lower hoeffding_bound_upper aggr_over_time count_values_over_time".split())
 
+
+
+def register_rollup(name: str, make: Callable[[W], Column], steps: bool = False, keep_name: bool = False) -> None:
+    """From now on queries know the rollup function ``name``: an aggregate over the columns of a window (see W). steps:
+    it uses the sample before each (``pv``, ``pt``)."""
+    if name in NAMES:
+        raise ValueError(f"{name!r} is there already")
+    (STEPS if steps else PLAIN)[name] = make
+    NAMES.add(name)
+    if keep_name:
+        KEEP_NAME.add(name)
+
+
 #: Functions that split into panes of one step: what a pane keeps, and how panes are joined.
 PANES: dict[str, Callable[[], Column]] = {
     "count_over_time": lambda: F.sum("n").cast("double"),
@@ -264,10 +277,42 @@ def pane_columns(v: Column, t: Column) -> list[Column]:
     ]
 
 
+def _rate(x: Column) -> Column:
+    seconds = (F.max("lt") - F.min("pt")) / 1000.0
+    return F.when(seconds > 0, x / seconds)
+
+
+#: Functions of steps that split into panes: how panes are joined.
+STEP_PANES: dict[str, Callable[[], Column]] = {
+    "increase": lambda: F.sum("inc"),
+    "rate": lambda: _rate(F.sum("inc")),
+    "delta": lambda: F.max_by("lv", "lt") - F.min_by("fv", "ft"),
+    "deriv_fast": lambda: _rate(F.max_by("lv", "lt") - F.min_by("fv", "ft")),
+    "resets": lambda: F.sum("down").cast("double"),
+    "decreases_over_time": lambda: F.sum("down").cast("double"),
+    "increases_over_time": lambda: F.sum("up").cast("double"),
+    "changes": lambda: F.sum("moved").cast("double"),
+    "ascent_over_time": lambda: F.sum("rise"),
+    "descent_over_time": lambda: F.sum("fall"),
+    "integrate": lambda: F.sum("area"),
+    "scrape_interval": lambda: F.sum("dt") / F.sum("pairs"),
+}
+
+
+def step_pane_columns(w: W, ok: Column) -> list[Column]:
+    """What a pane keeps of its steps; those that no function asks for are pruned."""
+    return [
+        F.sum(w.when(ok, w.inc)).alias("inc"), F.count_if(ok & less(w.v, w.pv)).alias("down"), F.count_if(ok & less(w.pv, w.v)).alias("up"), F.count_if(ok & (w.dv != 0)).alias("moved"),
+        F.sum(w.when(ok, F.greatest(w.dv, F.lit(0.0)))).alias("rise"), F.sum(w.when(ok, F.greatest(-w.dv, F.lit(0.0)))).alias("fall"), F.sum(w.when(ok, w.pv * w.dt)).alias("area"),
+        F.sum(w.when(ok, w.dt, None)).alias("dt"), F.count_if(ok).alias("pairs"), F.min(F.when(ok, w.pt).otherwise(w.t)).alias("pt"), F.max(w.t).alias("lt"), F.max_by(w.v, w.t).alias("lv"),
+        F.min_by(F.when(ok, w.pv).otherwise(w.v), w.t).alias("fv"), F.min(w.t).alias("ft"),
+    ]
+
+
 def vmrange(v: Column) -> Column:
     """The log-scale bucket of a value, 18 to a decade, as ``low...high``; NULL for what isn't positive."""
     k = F.floor(F.log10(v) * 18)
     return F.when(~F.isnan(v) & (v > 0) & (v < INF), F.format_string("%.3e...%.3e", F.pow(F.lit(10.0), k / 18.0), F.pow(F.lit(10.0), (k + 1) / 18.0)))
 
 
-__all__ = ["ABSENT", "BY_VALUE", "KEEP_NAME", "NAMES", "NAN", "NUMBERS_FIRST", "PANES", "PLAIN", "SEVERAL", "STEPS", "W", "pane_columns", "vmrange"]
+__all__ = ["ABSENT", "BY_VALUE", "KEEP_NAME", "NAMES", "NAN", "NUMBERS_FIRST", "PANES", "PLAIN", "SEVERAL", "STEPS", "STEP_PANES", "W", "pane_columns", "register_rollup", "step_pane_columns", "vmrange"]

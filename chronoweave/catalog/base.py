@@ -16,10 +16,9 @@ from ..sources import events_source
 
 Run = Callable[[SparkSession, str], DataFrame]
 DAY = 86_400_000
-#: 5 to 25 January 2024, a point a day.
-T0, T1, STEP = 1_704_412_800_000, 1_706_140_800_000, DAY
-#: The whole month.
+#: The whole month of events, January 2024, and a point a day over all of it.
 FIRST, LAST = 1_704_067_200_000, 1_706_745_599_999
+T0, T1, STEP = FIRST, LAST + 1, DAY
 
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,9 @@ from ..sources import events_source, orders_source
 from .base import DAY, FIRST, LAST, SAMPLES, add, shown, shown_value, sql_shown, sql_value
 
 HOUR = 3_600_000
-A, B = FIRST + 5 * DAY, FIRST + 12 * DAY
+A, B = FIRST, LAST
+#: A part of it, where the bounds are what a query is about.
+PART_A, PART_B = FIRST + 5 * DAY, FIRST + 12 * DAY
 #: Order dates: 1 to 4 June 1995.
 STAMPS = tuple(801_964_800_000 + k * DAY for k in range(4))
 #: user as text, so that a value may be compared with none.
@@ -78,6 +80,7 @@ def ranged(name: str, sql: str, selector: str = "click", labels: tuple[str, ...]
 
 CLICKS = f"{ROWS} WHERE metric = 'click' AND ts_ms BETWEEN {A} AND {B}"
 ranged("range_raw", f"SELECT usr, ts_ms, value {CLICKS}")
+ranged("range_part", f"SELECT usr, ts_ms, value {ROWS} WHERE metric = 'click' AND ts_ms BETWEEN {PART_A} AND {PART_B}", start=PART_A, end=PART_B)
 ranged("range_filter_value", f"SELECT usr, ts_ms, value {CLICKS} AND value BETWEEN 10 AND 50", by_value=(10, 50))
 add(
     "range_filter_ts",  # order dates repeat, so fixed timestamps pick rows at every size
@@ -85,7 +88,7 @@ add(
     f"SELECT status, priority, ts_ms, {sql_value('value', 4)} AS value FROM {ORDERS} WHERE ts_ms IN {STAMPS}",
 )
 ranged("range_count", f"SELECT usr, ts_ms, value {CLICKS} QUALIFY row_number() OVER (PARTITION BY usr ORDER BY ts_ms) <= 2", count=2)
-ranged("range_retention", f"SELECT usr, ts_ms, value FROM (SELECT *, max(ts_ms) OVER (PARTITION BY usr) AS last {ROWS} WHERE metric = 'click') WHERE ts_ms BETWEEN {A} AND {LAST} AND ts_ms >= last - {7 * DAY}", end=LAST, retention_ms=7 * DAY)
+ranged("range_retention", f"SELECT usr, ts_ms, value FROM (SELECT *, max(ts_ms) OVER (PARTITION BY usr) AS last {ROWS} WHERE metric = 'click') WHERE ts_ms BETWEEN {A} AND {LAST} AND ts_ms >= last - {7 * DAY}", retention_ms=7 * DAY)
 
 
 def bucket(width: int, align: int = 0) -> str:
@@ -158,8 +161,8 @@ EVERY = '{__name__=~".+"}'
 add("series_list", lambda s, d: metadata.series_list(series(s, d, CLICK_VIEW)).select("series"), f"SELECT {_NAME} AS series FROM {_CV}")
 add("series_limit", lambda s, d: metadata.series_list(series(s, d, CLICK_VIEW), 5).select("series"), f"SELECT {_NAME} AS series FROM {_CV} ORDER BY series LIMIT 5")
 add("cardinality", lambda s, d: metadata.cardinality(series(s, d, CLICK_VIEW)), f"SELECT count(*) AS cardinality FROM {_CV}")
-add("label_names", lambda s, d: metadata.label_names(series(s, d, CLICK_VIEW)), "SELECT unnest(['__name__', 'user']) AS name")
-add("label_values", lambda s, d: metadata.label_values(series(s, d, 'click{user=~"1.*"}'), "user"), f"SELECT DISTINCT usr AS value FROM {_S} AND metric = 'click' AND usr LIKE '1%'")
+add("label_names", lambda s, d: metadata.label_names(series(s, d, CLICK_VIEW)), f"SELECT DISTINCT name FROM {_PAIRS} WHERE value <> ''")
+add("label_values", lambda s, d: metadata.label_values(series(s, d, "click"), "user"), f"SELECT DISTINCT usr AS value FROM {_S} AND metric = 'click'")
 add("label_values_limit", lambda s, d: metadata.label_values(series(s, d, EVERY), NAME, 3), f"SELECT DISTINCT metric AS value FROM {_S} ORDER BY value LIMIT 3")
 add("stats_totals", lambda s, d: metadata.totals(series(s, d, EVERY)), f"SELECT (SELECT count(*) FROM {_S}) AS series, count(DISTINCT name) AS label_names, count(DISTINCT name || '=' || value) AS label_pairs FROM {_PAIRS}")
 add("stats_series_by_metric", lambda s, d: metadata.series_by_metric(series(s, d, EVERY)), f"SELECT metric, count(*) AS n FROM {_S} GROUP BY metric ORDER BY n DESC, metric LIMIT 10")
@@ -215,9 +218,9 @@ def _matches(selector: str) -> Column:
     return predicate([parse_selector(selector)], lambda n: label(F.col("lk"), n))
 
 
-_GONE = f"metric = 'click' AND usr LIKE '1%' AND ts_ms BETWEEN {A} AND {B}"
-ONES = 'click{user=~"1.*"}'
-add("delete_range", lambda s, d: shown(deletes.delete_range(scanned(s, d, CLICK_VIEW), _matches(ONES), A, B)[0]), sql_shown(f"SELECT * {ROWS} WHERE metric IN ('click', 'view') AND NOT ({_GONE})"))
-add("delete_range_count", lambda s, d: deletes.delete_range(scanned(s, d, CLICK_VIEW), _matches(ONES), A, B)[1].agg(F.count("*").alias("deleted")), f"SELECT count(*) AS deleted {ROWS} WHERE {_GONE}")
-add("delete_series", lambda s, d: shown(deletes.delete_series(events_source(s, d).series(), scanned(s, d, CLICK_VIEW), _matches(ONES), "lk")[1]), sql_shown(f"SELECT * {ROWS} WHERE metric IN ('click', 'view') AND NOT (metric = 'click' AND usr LIKE '1%')"))
-add("delete_series_count", lambda s, d: deletes.delete_series(events_source(s, d).series(), scanned(s, d, CLICK_VIEW), _matches(ONES), "lk")[2].agg(F.count("*").alias("deleted")), f"SELECT count(*) AS deleted FROM (SELECT DISTINCT metric, usr {ROWS} WHERE metric = 'click' AND usr LIKE '1%')")
+_GONE = f"metric = 'click' AND ts_ms BETWEEN {PART_A} AND {PART_B}"
+CLICKED = "click"
+add("delete_range", lambda s, d: shown(deletes.delete_range(scanned(s, d, CLICK_VIEW), _matches(CLICKED), PART_A, PART_B)[0]), sql_shown(f"SELECT * {ROWS} WHERE metric IN ('click', 'view') AND NOT ({_GONE})"))
+add("delete_range_count", lambda s, d: deletes.delete_range(scanned(s, d, CLICK_VIEW), _matches(CLICKED), PART_A, PART_B)[1].agg(F.count("*").alias("deleted")), f"SELECT count(*) AS deleted {ROWS} WHERE {_GONE}")
+add("delete_series", lambda s, d: shown(deletes.delete_series(events_source(s, d).series(), scanned(s, d, CLICK_VIEW), _matches(CLICKED), "lk")[1]), sql_shown(f"SELECT * {ROWS} WHERE metric IN ('click', 'view') AND NOT (metric = 'click')"))
+add("delete_series_count", lambda s, d: deletes.delete_series(events_source(s, d).series(), scanned(s, d, CLICK_VIEW), _matches(CLICKED), "lk")[2].agg(F.count("*").alias("deleted")), f"SELECT count(*) AS deleted FROM (SELECT DISTINCT metric, usr {ROWS} WHERE metric = 'click')")

@@ -86,8 +86,13 @@ q(
 for _f in ("sort", "sort_desc", "sort_by_label", "sort_by_label_desc", "sort_by_label_numeric", "sort_by_label_numeric_desc"):
     q(f"q_fn_{_f}", f"{_f}({CLICK}{', ' + chr(34) + 'user' + chr(34) if 'label' in _f else ''})", "SELECT usr, g AS ts_ms, v AS value FROM x")
 q("q_fn_smooth_exponential", f"smooth_exponential({CLICK}, 0.3)", f"SELECT usr, g AS ts_ms, list_reduce(list(v) {_W}, lambda a, e: 0.3 * e + 0.7 * a) AS value FROM x")
-for _f in ("rand", "rand_normal", "rand_exponential"):
-    promql(f"q_fn_{_f}", f"{_f}(7)", None, ())
+# random numbers: of one seed the same ones, and within their bounds (a normal one of over nine deviations never comes)
+for _f, _low, _high in (("rand", 0, 1), ("rand_normal", -9, 9), ("rand_exponential", 0, 80)):
+    promql(f"q_fn_{_f}", f"({_f}(7) >= bool {_low}) + ({_f}(7) < bool {_high}) + ({_f}(7) == bool {_f}(7))", _POINTS + "3 AS value FROM grid", ())
+promql("q_fn_start", "start()", _POINTS + f"{T0} / 1000.0 AS value FROM grid", ())
+promql("q_fn_step", "step() * 2", _POINTS + f"{STEP} / 500.0 AS value FROM grid", ())
+# the clock stands after the grid, and within a day's reach of itself
+promql("q_fn_now", "(now() > bool end()) + (now() - now() < bool 86400)", _POINTS + "2 AS value FROM grid", ())
 
 # ---- histograms: values of clicks in buckets of 20, 50, 100, 200 and above
 _BUCKETS = ", ".join(f'label_set(count(({CLICK} <= {le})), "le", "{le}")' for le in (20, 50, 100, 200)) + f', label_set(count({CLICK}), "le", "+Inf")'
@@ -106,10 +111,12 @@ def _quantile(phi: str) -> str:
 q("q_fn_histogram_quantile", f"histogram_quantile(0.9, {HISTOGRAM})", _H + f" SELECT g AS ts_ms, {_quantile('0.9')} AS value FROM b", ())
 q("q_fn_histogram_quantiles", f'histogram_quantiles("phi", 0.5, 0.9, {HISTOGRAM})', _H + f" SELECT '0.5' AS phi, g AS ts_ms, {_quantile('0.5')} AS value FROM b UNION ALL SELECT '0.9', g, {_quantile('0.9')} FROM b", ("phi",))
 q("q_fn_histogram_share", f"histogram_share(50, {HISTOGRAM})", ", h AS (SELECT g, count(*) FILTER (v <= 50) / count(*) AS s FROM x GROUP BY g) SELECT g AS ts_ms, s AS value FROM h", ())
-_MID = ", h AS (SELECT g, CASE WHEN v <= 20 THEN 10.0 WHEN v <= 50 THEN 35 WHEN v <= 100 THEN 75 WHEN v <= 200 THEN 150 ELSE 200 END AS m FROM x)"
-promql("q_fn_histogram_avg", f"histogram_avg({HISTOGRAM})", last_values(WHERE, 2, _MID + " SELECT g AS ts_ms, avg(m) AS value FROM h GROUP BY g"), ())
-promql("q_fn_histogram_stdvar", f"histogram_stdvar({HISTOGRAM})", last_values(WHERE, 2, _MID + " SELECT g AS ts_ms, var_pop(m) AS value FROM h GROUP BY g"), (), digits=4)
-promql("q_fn_histogram_stddev", f"histogram_stddev({HISTOGRAM})", last_values(WHERE, 2, _MID + " SELECT g AS ts_ms, sqrt(var_pop(m)) AS value FROM h GROUP BY g"), (), digits=4)
+# the middle of each bucket that is there, between its bound and the one below; of the last one its lower bound
+_MID = _H + """, e AS (SELECT g, unnest(b) AS e FROM b), pl AS (SELECT g, e.le AS le, coalesce(lag(e.le) OVER o, 0.0) AS low, e.v - coalesce(lag(e.v) OVER o, 0) AS n FROM e WINDOW o AS (PARTITION BY g ORDER BY e.le)),
+m AS (SELECT g, CASE WHEN le = 'inf'::DOUBLE THEN low ELSE (low + le) / 2 END AS m, n FROM pl), av AS (SELECT g, sum(m * n) / sum(n) AS a, sum(n) AS n FROM m GROUP BY g),
+d AS (SELECT m.g, av.a, sum(m.n * (m.m - av.a) * (m.m - av.a)) / any_value(av.n) AS var FROM m JOIN av USING (g) GROUP BY m.g, av.a)"""
+for _f, _e, _digits in (("avg", "a", 6), ("stdvar", "var", 4), ("stddev", "sqrt(var)", 4)):
+    promql(f"q_fn_histogram_{_f}", f"histogram_{_f}({HISTOGRAM})", last_values(WHERE, 2, _MID + f" SELECT g AS ts_ms, {_e} AS value FROM d"), (), digits=_digits)
 promql(
     "q_fn_prometheus_buckets", f"prometheus_buckets(histogram({CLICK}))",
     last_values(WHERE + " AND value > 0", 2, """, e AS (SELECT g, floor(log10(v) * 18) + 1 AS k, count(*) AS n FROM x GROUP BY ALL),

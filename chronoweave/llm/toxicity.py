@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_texts, held_out, table
+from .common import grouped_texts, held_out, materialize, scratch, table
 
 #: Labelled rows that lexicons and trees are learned from, at most about so many (chosen by a hash of the id).
 TRAIN_ROWS = 8000
@@ -81,15 +81,16 @@ class Features:
         get, kind = self.kept.get, self.kind
         codes = np.frombuffer(bytes([c if (c := get(w)) is not None else kind(w) for w in words]), np.uint8)
         n = len(codes)
-        rate = lambda bit: float(np.count_nonzero(codes & bit)) / n
+        count = lambda bit: int(np.count_nonzero(codes & bit))
+        rate = lambda bit: count(bit) / n
         bad, you = np.flatnonzero(codes & (HIT | FAMILY)), np.flatnonzero(codes & YOU)
         near = 0
         if len(bad) and len(you):
             at = np.searchsorted(you, bad)
             before, after = bad - you[np.maximum(at - 1, 0)], you[np.minimum(at, len(you) - 1)] - bad
             near = int(np.count_nonzero((np.abs(before) <= NEAR) | (np.abs(after) <= NEAR)))
-        hits, family = rate(HIT) * n, rate(FAMILY) * n
-        return [hits, hits / n, family, family / n, near, rate(YOU), rate(CAPS), rate(MARK), rate(OBFUSCATED) * n, math.log1p(n), rate(ODD)]
+        hits, family = count(HIT), count(FAMILY)
+        return [hits, hits / n, family, family / n, near, rate(YOU), rate(CAPS), rate(MARK), count(OBFUSCATED), math.log1p(n), rate(ODD)]
 
 
 class BoostedTrees:
@@ -161,13 +162,15 @@ class BoostedTrees:
 
 
 class Isotonic:
-    """Pool adjacent violators; values between two blocks are interpolated."""
+    """Pool adjacent violators; equal scores are one from the start; values between two blocks are interpolated."""
 
     def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
         order = np.argsort(score, kind="stable")
         blocks: list[list[float]] = []
-        for s, v in zip(score[order], y[order], strict=True):
-            blocks.append([float(v), 1.0, float(s), float(s)])
+        at, first, n = np.unique(score[order], return_index=True, return_counts=True)
+        sums = np.add.reduceat(y[order].astype(float), first) if len(first) else []
+        for s, v, k in zip(at.tolist(), sums, n.tolist(), strict=True):
+            blocks.append([float(v), float(k), s, s])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
                 v2, n2, _, hi = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2], hi]
@@ -191,9 +194,13 @@ class ToxicityModel:
         return self.isotonic(self.trees.raw(np.array([self.features.of(t) for t in texts]).reshape(-1, len(FEATURES))))
 
 
+def _beginnings(words, n: int):
+    return F.transform(F.filter(words, lambda x: F.length(x) >= n), lambda x: F.substring(x, 1, n))
+
+
 def _lexicon(sample: DataFrame, unit) -> frozenset[str]:
     """The strongest entries among the units of the sample, by grouped counts."""
-    words = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")), lambda w: F.length(w) > 2)
+    words = F.filter(F.transform(F.split(F.lower("text"), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^\W+|\W+$", "")), lambda w: F.length(w) > 2)
     rows = (
         sample.select("toxic", F.explode(F.array_distinct(unit(words))).alias("u"))
         .groupBy("u")
@@ -212,21 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n = labels.count()
     at = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id").cast("string")), F.lit(1_000_000))
     chosen = labels.where(at < int(1_000_000 * min(1.0, TRAIN_ROWS / max(n, 1))) + 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # about TRAIN_ROWS rows of two numbers, so a broadcast is bounded
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    words = SEED | _lexicon(sample, lambda w: w)
-    families = _lexicon(sample, lambda w: F.flatten(F.array(*[F.transform(F.filter(w, lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.substring(x, 1, n)) for n in BEGINNINGS])))
-    features = Features(words, families)
+    # about TRAIN_ROWS rows of two numbers, so a broadcast is bounded; one row an id, so the sample is, too
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with scratch():
+        sample = materialize(sample, "toxic-sample")  # read three times below
+        words = SEED | _lexicon(sample, lambda w: w)
+        families = _lexicon(sample, lambda w: F.flatten(F.array(*[_beginnings(w, n) for n in BEGINNINGS])))
+        features = Features(words, families)
 
-    def run(it):
-        import pyarrow as pa
+        def run(it):
+            import pyarrow as pa
 
-        for b in it:
-            x = [features.of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            for b in it:
+                x = [features.of(t.as_py()) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(sample.select("doc_id", "text", "toxic").mapInArrow(run, f"doc_id {kind}, toxic int, x array<double>").collect())
+        rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, toxic int, x array<double>").collect())
     y = np.array([r[1] for r in rows], float)
     if not len(rows) or y.min() == y.max():
         return ToxicityModel(features, None, None, float(y.mean()) if len(rows) else 0.0)
@@ -244,7 +253,8 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     """id, score, predicted for each whole text.
 
     Defined results: null and empty texts get the score of a text without words; without usable labels the score is
-    the share of label 1 (0 if there is none); repeated ids give one row each; no other column is read."""
+    the share of label 1 (0 if there is none); repeated ids give one row each; a null id gives a row like any other
+    (the query's held_out is null there, and the row isn't learned from); no other column is read."""
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and the number of trees
 

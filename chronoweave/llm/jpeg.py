@@ -24,6 +24,8 @@ from .common import grouped_texts, table, utf8
 
 #: Samples a row, and rows an image at most (65535 lines of pixels); longer payloads become several images in a row.
 ROW, MOST_ROWS = 576, 8191
+#: Rows coded at a time, and bytes of scans decoded together: what numpy holds at once doesn't grow with the text.
+CODED_ROWS, DECODED_BYTES = 1024, 4 << 20
 #: Code lengths of the DC table: counts for 1..16 bits, then the categories (the usual luminance table).
 DC_BITS, DC_VALUES = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))
 #: The AC table only needs "end of block".
@@ -81,7 +83,8 @@ def write_jpeg(payload: bytes) -> bytes:
     return b"".join(_write(payload[k : k + step]) for k in range(0, len(payload), step))
 
 
-def _write(payload: bytes) -> bytes:
+def _coded(payload: bytes) -> list[bytes]:
+    """The entropy-coded bytes of each row of samples."""
     rows = len(payload) // ROW
     v = np.frombuffer(payload, np.uint8).reshape(rows, ROW).astype(np.int16) - 128
     d = np.diff(v, axis=1, prepend=np.int16(0)) + 255  # the prediction starts anew in each row
@@ -99,13 +102,17 @@ def _write(payload: bytes) -> bytes:
         where[at] = False
     bits[where] = flat[keep]
     data = np.packbits(bits).tobytes()
-    ends = np.cumsum(width) // 8
-    parts, a = [], 0
-    for k, b in enumerate(ends.tolist()):
-        parts.append(data[a:b].replace(b"\xff", b"\xff\x00"))
-        if k + 1 < rows:
-            parts.append(bytes((0xFF, 0xD0 + k % 8)))
-        a = b
+    ends = (np.cumsum(width) // 8).tolist()
+    return [data[a:b].replace(b"\xff", b"\xff\x00") for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _write(payload: bytes) -> bytes:
+    rows, parts = len(payload) // ROW, []
+    for k in range(0, len(payload), ROW * CODED_ROWS):
+        for coded in _coded(payload[k : k + ROW * CODED_ROWS]):
+            if parts:
+                parts.append(bytes((0xFF, 0xD0 + (len(parts) // 2) % 8)))
+            parts.append(coded)
     head = b"\xff\xd8" + _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + _segment(0xDB, b"\0" + bytes([8] + [1] * 63))
     head += _segment(0xC0, struct.pack(">BHHBBBB", 8, rows * 8, ROW * 8, 1, 1, 0x11, 0))
     head += _segment(0xC4, b"\x00" + DC_BITS + DC_VALUES) + _segment(0xC4, b"\x10" + AC_BITS + AC_VALUES)
@@ -209,18 +216,27 @@ def _parse(data: bytes, at: int) -> tuple[_Scan, int]:
 
 def read_jpegs(files: list[bytes]) -> list[list[Image]]:
     """The images of each file (a file may hold several, one after the other)."""
+    out: list[list[Image]] = [[] for _ in files]
     scans: list[_Scan] = []
-    owner = []
+    owner, held = [], 0
+
+    def decode() -> None:
+        for k, s, t in zip(owner, scans, _decode(scans), strict=True):
+            out[k].append(Image(s.width, s.height, t))
+        scans.clear()
+        owner.clear()
+
     for k, data in enumerate(files):
         at = 0
         while at < len(data):
-            s, at = _parse(data, at)
+            s, after = _parse(data, at)
             scans.append(s)
             owner.append(k)
-    thumbs = _decode(scans)
-    out: list[list[Image]] = [[] for _ in files]
-    for k, s, t in zip(owner, scans, thumbs, strict=True):
-        out[k].append(Image(s.width, s.height, t))
+            held, at = held + after - at, after
+            if held >= DECODED_BYTES:
+                decode()
+                held = 0
+    decode()
     return out
 
 

@@ -102,3 +102,21 @@ def test_media_of_edges(edge_docs, edge_rows, no_docs):
         assert r["feature"].startswith(f"{8 * jpeg.ROW}x{len(payload) // jpeg.ROW * 8}:")
     assert got[6]["media_sha256"] == got[7]["media_sha256"] and got[6]["feature"] == got[7]["feature"]
     assert jpeg.media(no_docs).count() == 0
+
+
+def test_pieces_change_nothing(monkeypatch):
+    """Coding and decoding in small pieces gives the same files and the same images."""
+    import random
+
+    rng = random.Random(5)
+    payloads = [bytes(rng.randrange(256) for _ in range(jpeg.ROW * n)) for n in (1, 2, 9, 20)]
+    files = [jpeg.write_jpeg(p) for p in payloads]
+    whole = jpeg.read_jpegs(files)
+    for rows, most, held in ((1, 8191, 1), (3, 7, 2000)):
+        monkeypatch.setattr(jpeg, "CODED_ROWS", rows)
+        monkeypatch.setattr(jpeg, "DECODED_BYTES", held)
+        assert [jpeg.write_jpeg(p) for p in payloads] == files
+        monkeypatch.setattr(jpeg, "MOST_ROWS", most)
+        pieces = jpeg.read_jpegs([jpeg.write_jpeg(p) for p in payloads])
+        assert [b"".join(im.thumb.tobytes() for im in x) for x in pieces] == payloads == [b"".join(im.thumb.tobytes() for im in x) for x in whole]
+        monkeypatch.setattr(jpeg, "MOST_ROWS", 8191)

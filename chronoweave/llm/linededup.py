@@ -1,11 +1,17 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
 Equal lines are grouped first, with a combine in the scan, so a line in a third of all documents costs one row a task.
-The different lines are then joined: a line is cut into THRESHOLD + 1 segments; two lines within THRESHOLD edits share
-one of them unchanged, moved by few places. Each line is indexed under its segments (with its length), and looks up,
-for every shorter length in reach, the substrings where a shared segment can stand. Candidates that letter counts
-can't rule out are verified by banded bit-parallel edit distance. Of equal lines the first stays, and a line goes if
-a line within THRESHOLD edits comes before it; "before" is by (document id, line number).
+The different lines are then joined by edit distance: short lines by characters, lines of LONG words or more by words,
+so that what THRESHOLD edits may change grows with the line.
+
+Two lines within ``t`` edits share one of the shorter one's ``t + 1`` segments, moved by few places. So each line is
+indexed under its segments, by its length, and looks up, for every shorter length in reach, the substrings where a
+shared segment can stand. Candidates that symbol counts can't rule out are verified by banded bit-parallel edit
+distance: first each line against the first line of each of its segments, and only lines that this leaves against all
+others, so that a large group of near copies isn't taken pair by pair.
+
+Of equal lines the first stays, and a line goes if a line within the threshold comes before it; "before" is by (document
+id, line number). The line before needn't stay itself: of a chain of lines, each near the next, the first stays.
 """
 
 from __future__ import annotations
@@ -15,35 +21,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import discard, materialize, scratch, small, table
 
-THRESHOLD = 2
-#: Shorter lines (trimmed, in characters) are left alone: they repeat by chance.
+#: Edits that make no difference: of characters if one of the lines has fewer than LONG words, else of words.
+THRESHOLD, LONG = 2, 20
+#: Shorter lines (trimmed, in characters) are left alone: headings, brackets and the like repeat by chance.
 MIN_CHARS = 20
 LETTERS = "etaniorshdlu"
-#: Lists of documents and pairs up to this number of rows (about 50 bytes each) are broadcast.
-BROADCAST_ROWS = 100_000
 
 
-def edit_distance_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
-    """Whether two strings of nearly equal length (a at least as long) are within ``threshold`` edits: the band of
-    2 * threshold + 1 diagonals of the dynamic programme as bit vectors, one step a character (Hyyro 2003). The
-    characters of a and b stand in the columns _p and _t, so that they are split once for each pair."""
+def edit_distance_within(p: str, t: str, threshold: int = THRESHOLD) -> Column:
+    """Whether two arrays of symbols, p at least as long as t, are within ``threshold`` edits: the band of
+    2 * threshold + 1 diagonals of the dynamic programme as bit vectors, one step a symbol (Hyyro 2003)."""
     width = 2 * threshold + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
     lit = lambda x: F.lit(x).cast("long")
     flip = lambda c: c.bitwiseXOR(lit(mask))
-    n_p, n_t = F.length(a), F.length(b)
+    n_p, n_t = F.size(p), F.size(t)
     start = F.struct(lit(mask ^ ((1 << threshold) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(threshold).alias("d"))
     # the vectors of one step are needed several times; nested one-element transforms bind them once
     bind = lambda x, f: F.transform(F.array(x), f)[0]
 
     def step(s: Column, i: Column) -> Column:
-        c = F.get(F.col("_t"), i)
+        c = F.get(F.col(t), i)
         match = lit(0)
         for k in range(width):
             at = i + (threshold - k)
-            match = match.bitwiseOR(F.when((at >= 0) & (F.get(F.col("_p"), F.greatest(at, F.lit(0))) == c), lit(top >> k)).otherwise(lit(0)))
+            match = match.bitwiseOR(F.when((at >= 0) & (F.get(F.col(p), F.greatest(at, F.lit(0))) == c), lit(top >> k)).otherwise(lit(0)))
 
         def second(x: Column) -> Column:
             vp, vn, d0 = s["vp"], s["vn"], x["d0"]
@@ -71,6 +75,14 @@ def edit_distance_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Co
     return F.aggregate(F.sequence(F.lit(0), n_t - 1), start, step, lambda s: s["d"]) <= threshold
 
 
+def words_of(c: str) -> Column:
+    return F.split(c, " ")
+
+
+def chars_of(c: str) -> Column:
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
+
+
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with computed columns behind a generator: predicates on them aren't pushed below it, so an expression is
     worked out once a row and not once for each time it is named."""
@@ -78,51 +90,55 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def verified(pairs: DataFrame, a: str, b: str, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs within ``threshold`` edits. The common beginning and end of two texts, found by halving steps, don't
-    count: the distance is that of what is left, a few characters as a rule. The longer rest is the pattern."""
+    """The pairs of lines within ``threshold`` edits. What two lines have in common at their beginnings and ends doesn't
+    count: the distance is that of what is left, a few symbols as a rule. The longer rest is the pattern."""
     names = pairs.columns
-    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
-
-    def common(x: str, y: str) -> Column:
-        n = F.least(F.length(x), F.length(y))
-        same = lambda at, w: F.substr(F.col(x), at + 1, w) == F.substr(F.col(y), at + 1, w)
-        return F.aggregate(steps, F.lit(0), lambda at, w: F.when((at + w <= n) & same(at, w), at + w).otherwise(at))
-
-    rest = fixed(fixed(pairs, _ra=F.reverse(a), _rb=F.reverse(b)), _at=common(a, b), _end=common("_ra", "_rb"))
-    left = lambda c: F.substr(F.col(c), F.col("_at") + 1, F.length(c) - F.col("_at") - F.least(F.col("_end"), F.least(F.length(a), F.length(b)) - F.col("_at")))
-    rest = fixed(rest, _a=left(a), _b=left(b))
-    longer = F.length("_a") >= F.length("_b")
-    rest = fixed(rest, _x=F.when(longer, F.col("_a")).otherwise(F.col("_b")), _y=F.when(longer, F.col("_b")).otherwise(F.col("_a")))
-    chars = fixed(rest.where(F.length("_x") - F.length("_y") <= threshold), _p=F.split("_x", ""), _t=F.split("_y", ""))
-    # a rest of THRESHOLD characters is as far away as it is long, at most
-    near = F.when(F.length("_x") <= threshold, True).when(F.length("_y") == 0, False).otherwise(edit_distance_within(F.col("_x"), F.col("_y"), threshold))
-    return chars.where(near).select(names)
-
-
-#: Four bytes a character, so that a substring is cut out without counting characters.
-WIDE = 4
-
-
-def _parts(length: Column, threshold: int) -> dict[str, Column]:
-    """For each shorter length in reach, its segments' size and how many of them are one longer."""
-    out = {}
-    for d in range(threshold + 1):
-        size = F.call_function("div", length - d, F.lit(threshold + 1)).cast("int")
-        out |= {f"_size{d}": size, f"_long{d}": (length - d - size * (threshold + 1)).cast("int")}
-    return out
-
-
-def _keys(threshold: int, shorter: int | None) -> list[Column]:
-    """Of a line in _wide with length _n: shorter None: the keys it is indexed under. Else those it looks up among
-    lines so much shorter, at every place where a shared segment can stand. The last segments are one longer."""
-    parts, out, d = threshold + 1, [], shorter or 0
-    size, longer = F.col(f"_size{d}"), F.col(f"_long{d}")
-    for k in range(parts):
-        start = size * k + F.greatest(longer - (parts - k), F.lit(0))
-        here = size + F.when(longer >= parts - k, 1).otherwise(0)
-        moves = [0] if shorter is None else range(max(-k, shorter - (parts - 1 - k)), min(k, shorter + parts - 1 - k) + 1)
-        out += [F.xxhash64(F.substr(F.col("_wide"), (start + m) * WIDE + 1, here * WIDE), (F.col("_n") - d) * parts + k) for m in moves]
-    return out
+    pairs = fixed(pairs, _wa=words_of(a), _wb=words_of(b))
+    long = (F.size("_wa") >= LONG) & (F.size("_wb") >= LONG)
+    pairs = fixed(pairs, _sa=F.when(long, F.col("_wa")).otherwise(chars_of(a)), _sb=F.when(long, F.col("_wb")).otherwise(chars_of(b)))
+    pairs = pairs.where(F.abs(F.size("_sa") - F.size("_sb")) <= threshold)
+    least = F.least(F.size("_sa"), F.size("_sb"))
+
+    def common(x: Column, y: Column) -> Column:
+        first = F.array_position(F.zip_with(x, y, lambda i, j: i.eqNullSafe(j)), False)
+        return F.when(first > 0, first - 1).otherwise(least).cast("int")
+
+    pairs = fixed(pairs, _at=common(F.col("_sa"), F.col("_sb")), _end=common(F.reverse("_sa"), F.reverse("_sb")))
+    rest = lambda c: F.slice(c, F.col("_at") + 1, F.size(c) - F.col("_at") - F.least(F.col("_end"), least - F.col("_at")))
+    pairs = fixed(pairs, _ra=rest("_sa"), _rb=rest("_sb"))
+    longer = F.size("_ra") >= F.size("_rb")
+    pairs = fixed(pairs, _x=F.when(longer, F.col("_ra")).otherwise(F.col("_rb")), _y=F.when(longer, F.col("_rb")).otherwise(F.col("_ra")))
+    # a rest of so many symbols is as far away as it is long, at most
+    near = F.when(F.size("_x") <= threshold, True).when(F.size("_y") == 0, False).otherwise(edit_distance_within("_x", "_y", threshold))
+    return pairs.where(near).select(names)
+
+
+def _moves(threshold: int) -> list[tuple[int, int, int]]:
+    """(d, k, m): in a line longer by d than the indexed one, its segment k may stand moved by m places. Of all places
+    those are left out that leave too many edits for the segments before it or behind it."""
+    parts = threshold + 1
+    return [(d, k, m) for d in range(parts) for k in range(parts) for m in range(max(-k, d - (parts - 1 - k)), min(k, d + parts - 1 - k) + 1)]
+
+
+def _keyed(lines: DataFrame, threshold: int) -> DataFrame:
+    """lines: _id, _no, _key. Returns a row _id, _no, _own, _k for each key: a hash of a segment, its number, and the length
+    and unit of the indexed line. A line is indexed under its own keys (_own) and looks up all of them. A line of about
+    LONG words may have a partner that is shorter than that, so it has keys of either unit."""
+    words = fixed(lines.select("_id", "_no", "_key"), _words=words_of("_key"))
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    w = F.size("_words")
+    units = F.array_compact(F.array(F.when(w < LONG + threshold, F.struct(F.lit(0).alias("u"), hashed(chars_of("_key")).alias("h"))), F.when(w >= LONG, F.struct(F.lit(1).alias("u"), hashed(F.col("_words")).alias("h")))))
+    # the places to look at are a constant that is exploded: one expression makes all keys, and its code stays small
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(m).alias("m")) for d, k, m in _moves(threshold)])
+    low, parts, k = F.when(F.col("u") == 1, LONG).otherwise(threshold + 1), threshold + 1, F.col("k")
+    rows = words.select("_id", "_no", F.inline(units)).select("_id", "_no", "u", "h", F.inline(places))
+    rows = rows.withColumn("n", F.size("h") - F.col("d")).where((F.col("d") == 0) | (F.col("n") >= low))
+    rows = rows.withColumn("size", F.call_function("div", F.col("n"), F.lit(parts)).cast("int")).withColumn("longer", F.col("n") - F.col("size") * parts)
+    # the last segments are one longer
+    start = F.col("size") * k + F.greatest(F.col("longer") - (parts - k), F.lit(0)) + F.col("m")
+    here = F.col("size") + F.when(F.col("longer") >= parts - k, 1).otherwise(0)
+    key = F.xxhash64(F.slice("h", start + 1, here), F.col("n") * parts + k, "u")
+    return rows.select("_id", "_no", ((F.col("d") == 0) & (F.col("m") == 0)).alias("_own"), key.alias("_k"))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -130,16 +146,27 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _sketch(key: str) -> Column:
-    """How often each of LETTERS stands in the line, five bits each (counts modulo 32), and the length modulo 4."""
-    out = F.shiftleft(F.length(key).cast("long").bitwiseAND(F.lit(3)), 60)
+    """How often each of LETTERS stands in the line, five bits each (counts modulo 32)."""
+    out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
         n = (F.length(key) - F.length(F.replace(F.col(key), F.lit(c)))).cast("long").bitwiseAND(F.lit(31))
         out = out.bitwiseOR(F.shiftleft(n, 5 * k))
     return out
 
 
+def _word_sketch(words: Column) -> Column:
+    """The same of the words, dealt to as many classes by their hashes."""
+
+    def add(acc: Column, word: Column) -> Column:
+        at = (F.pmod(F.xxhash64(word), F.lit(len(LETTERS))) * 5).cast("int")
+        one, mask = F.call_function("shiftleft", F.lit(1).cast("long"), at), F.call_function("shiftleft", F.lit(31).cast("long"), at)
+        return acc.bitwiseAND(F.bitwise_not(mask)).bitwiseOR((acc.bitwiseAND(mask) + one).bitwiseAND(mask))
+
+    return F.aggregate(words, F.lit(0).cast("long"), add)
+
+
 def _apart(x: str, y: str) -> Column:
-    """At least how many letter counts two sketches differ by; each edit changes two by one, at most."""
+    """At least how many counts two sketches differ by; each edit changes two by one, at most."""
     out = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
         of = lambda c, k=k: F.shiftright(F.col(c), 5 * k).bitwiseAND(F.lit(31))
@@ -148,46 +175,63 @@ def _apart(x: str, y: str) -> Column:
     return out
 
 
-def candidates(firsts: DataFrame, pick: Callable[[DataFrame], DataFrame], threshold: int = THRESHOLD) -> DataFrame:
-    """firsts: _id, _no, _key. pick: (_id, _no, _key) of the given (_id, _no). Pairs (a_id, a_no, b_id, b_no), b before
-    a, that share a segment and whose letter counts leave ``threshold`` edits possible.
-
-    Most lines share nothing with any other. Two semi-joins find the keys and lines that do, without a row for each
-    pair; only those lines get letter counts, and only pairs that these let pass become rows."""
-    base = fixed(firsts.select("_id", "_no", "_key"), _n=F.length("_key"), _wide=F.encode("_key", "UTF-32"))
-    base = fixed(base, **_parts(F.col("_n"), threshold))
-    each = lambda keys: base.select("_id", "_no", F.array(*keys).alias("_ks")).select("_id", "_no", F.explode("_ks").alias("_k"))
-    stored = materialize(each(_keys(threshold, None)).select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), "_k"), "segments")
-    probes = each([x for d in range(threshold + 1) for x in _keys(threshold, d)])
-    p, t = probes.alias("p"), stored.alias("t")
+def _sharing(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed: as _keyed gives it, stored. The look-ups (_id, _no, _k) that meet another line, and the index entries
+    (_id2, _no2, _k) that they meet, both stored. Most lines share nothing with any other: two semi-joins find those
+    that do, without a row for each pair."""
+    stored = keyed.where("_own").select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), "_k")
+    p, t = keyed.select("_id", "_no", "_k").alias("p"), stored.alias("t")
     other = (F.col("p._id") != F.col("t._id2")) | (F.col("p._no") != F.col("t._no2"))
     asking = materialize(p.join(t.hint("shuffle_hash"), (F.col("p._k") == F.col("t._k")) & other, "left_semi"), "asking")
-    answers = materialize(stored.join(asking.select("_k").distinct().hint("shuffle_hash"), "_k", "left_semi"), "answers")
-    lines = materialize(asking.select("_id", "_no").union(answers.select("_id2", "_no2")).distinct(), "lines")
-    sketches = materialize(pick(lines).select("_id", "_no", _sketch("_key").alias("_s")), "sketches")
-    asks = asking.join(sketches, ["_id", "_no"])
-    answer = answers.join(sketches.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), F.col("_s").alias("_s2")), ["_id2", "_no2"])
+    return asking, materialize(stored.join(asking.select("_k").distinct().hint("shuffle_hash"), "_k", "left_semi"), "answers")
+
+
+def _pairs(asks: DataFrame, answers: DataFrame, threshold: int, decided: bool = False) -> DataFrame:
+    """Look-ups and index entries of one key, with sketches: the pairs (a_id, a_no, b_id, b_no), b before a, whose symbol
+    counts leave so few edits possible. Only these become rows. decided: _g and _g2 say which lines are gone already."""
     later = (F.col("_id") > F.col("_id2")) | ((F.col("_id") == F.col("_id2")) & (F.col("_no") > F.col("_no2")))
-    # lines of one length find each other both ways; the later one is enough
-    once = later | (F.shiftright("_s", 60) != F.shiftright("_s2", 60))
     differ = (F.col("_id") != F.col("_id2")) | (F.col("_no") != F.col("_no2"))
+    long = (F.col("_w") >= LONG) & (F.col("_w2") >= LONG)
+    possible = F.when(long, _apart("_z", "_z2") <= 2 * threshold).otherwise(_apart("_s", "_s2") <= 2 * threshold)
     either = lambda c, x, y: F.when(c, F.col(x)).otherwise(F.col(y))
-    return asks.join(answer, "_k").where(differ & once & (_apart("_s", "_s2") <= 2 * threshold)).select(
+    if decided:
+        possible = possible & ~F.when(later, F.col("_g")).otherwise(F.col("_g2"))
+    return asks.join(answers, "_k").where(differ & possible).select(
         either(later, "_id", "_id2").alias("a_id"), either(later, "_no", "_no2").alias("a_no"), either(later, "_id2", "_id").alias("b_id"), either(later, "_no2", "_no").alias("b_no")
     ).distinct()
 
 
-def beside(texts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Lines of the documents that ``rows`` (stored) name in ``key``, next to these rows: rows of a checked size are
-    broadcast to the scan of the texts; more meet them in the partition of their document."""
-    rows = rows.hint("shuffle_hash") if rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else F.broadcast(rows)
-    return _lines(texts).withColumnRenamed("_id", key).join(rows, key)
-
-
-def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def _gone(keyed: DataFrame, pick: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """_id, _no of the lines that a line before them is near to. pick: (_id, _no, _key) of the given (_id, _no)."""
+    asking, answers = _sharing(keyed)
+    lines = materialize(asking.select("_id", "_no").union(answers.select("_id2", "_no2")).distinct(), "lines")
+    words = fixed(pick(lines), _words=words_of("_key"))
+    w = F.size("_words")
+    seen = ["_w", "_s", "_z"]
+    lines = materialize(words.select("_id", "_no", "_key", w.alias("_w"), F.when(w < LONG + threshold, _sketch("_key")).alias("_s"), F.when(w >= LONG, _word_sketch(F.col("_words"))).alias("_z")), "sketches")
+    second = lines.select(F.col("_id").alias("_id2"), F.col("_no").alias("_no2"), *[F.col(c).alias(f"{c}2") for c in seen])
+    asks = materialize(asking.join(lines.select("_id", "_no", *seen), ["_id", "_no"]), "asks")
+    answers = materialize(answers.join(second, ["_id2", "_no2"]), "answers")
+    discard(asking)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        of = lambda x: lines.select(F.col("_id").alias(f"{x}_id"), F.col("_no").alias(f"{x}_no"), F.col("_key").alias(f"{x}_key"))
+        with_texts = pairs.join(of("a"), ["a_id", "a_no"]).join(of("b"), ["b_id", "b_no"])
+        return verified(with_texts, "a_key", "b_key", threshold).select(F.col("a_id").alias("_id"), F.col("a_no").alias("_no")).distinct()
+
+    # the first line of each key against the others
+    place = F.struct("_id2", "_no2", *[f"{c}2" for c in seen])
+    heads = answers.groupBy("_k").agg(F.min(place).alias("m")).select("_k", "m.*")
+    first = materialize(near(_pairs(asks, heads, threshold)), "gone")
+    # lines that are left against all
+    flag = lambda rows, i, n, g: rows.join(first.select(F.col("_id").alias(i), F.col("_no").alias(n), F.lit(True).alias(g)).hint("shuffle_hash"), [i, n], "left").withColumn(g, F.coalesce(g, F.lit(False)))
+    return first.union(near(_pairs(flag(asks, "_id", "_no", "_g"), flag(answers, "_id2", "_no2", "_g2"), threshold, True)))
+
+
+def kept_lines(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """texts: _id, _text. Returns _id, _kept: the numbers of the judged lines that stay."""
     with scratch() as s:
-        each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= MIN_CHARS)
+        each = _lines(texts).select("_id", F.posexplode("_lines").alias("_no", "_line")).withColumn("_key", F.trim("_line")).where(F.length("_key") >= min_chars)
         # equal lines by 128 bits of hash; the combine in the scan leaves one row a task of a line however often it stands
         firsts = each.groupBy(F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2")).agg(F.min(F.struct("_id", "_no")).alias("m")).select("m.*")
         numbers = materialize(firsts.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "first-lines")
@@ -197,29 +241,31 @@ def kept_lines(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             rows = rows.select("_id", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("_no"), F.trim(F.get("_lines", i)).alias("_key")))).alias("x"))
             return rows.select("_id", "x._no", "x._key")
 
-        pick = lambda lines: named(beside(texts, materialize(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "asked"), "_id"))
-        pairs = materialize(candidates(named(_lines(texts).join(numbers.hint("shuffle_hash"), "_id")), pick, threshold), "pairs")
-        line = lambda rows, x: beside(texts, rows, f"{x}_id").withColumn(f"{x}_key", F.trim(F.get("_lines", F.col(f"{x}_no")))).drop("_lines")
-        with_texts = line(materialize(line(pairs, "a"), "pairs-a"), "b")
-        gone = verified(with_texts, "a_key", "b_key", threshold).groupBy(F.col("a_id").alias("_id")).agg(F.collect_set("a_no").alias("_gone"))
+        def pick(lines: DataFrame) -> DataFrame:
+            """Ids and numbers of a measured size go to the scan of the texts; more meet them by the document's id."""
+            asked = materialize(lines.groupBy("_id").agg(F.collect_list("_no").alias("_nos")), "asked")
+            return named(_lines(texts).join(small(asked, "shuffle_hash"), "_id"))
+
+        keyed = materialize(_keyed(named(_lines(texts).join(numbers.hint("shuffle_hash"), "_id")), threshold), "keys")
+        gone = _gone(keyed, pick, threshold).groupBy("_id").agg(F.collect_set("_no").alias("_gone"))
         left = numbers.join(gone.hint("shuffle_hash"), "_id", "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_nos")).otherwise(F.array_except("_nos", "_gone")).alias("_kept"))
         return s.keep(materialize(left, "kept-lines"))
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the repeated lines gone from ``text``, plus n_lines and n_dropped.
 
     Between documents only hashes and line numbers move; texts move to the partition of their own document.
 
     Defined results: null texts stay null with no lines; an empty text is one empty line and stays; lines under
-    MIN_CHARS always stay; a document may end up empty, it stays as a row. Ids are keys: rows that repeat one are
+    ``min_chars`` always stay, even if they repeat; a document may end up empty, it stays as a row. Ids are keys: rows that repeat one are
     judged as one document (each keeps the lines that the id keeps). Other columns pass unchanged, whatever their
     names."""
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & F.col("_id").isNotNull())
-    kept = kept_lines(texts, threshold)
+    kept = kept_lines(texts, threshold, min_chars)
     out = _lines(texts).join(kept.hint("shuffle_hash"), "_id", "left")
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    short = F.filter(every, lambda i: F.length(F.trim(F.get("_lines", i))) < MIN_CHARS)
+    short = F.filter(every, lambda i: F.length(F.trim(F.get("_lines", i))) < min_chars)
     left = F.array_sort(F.array_union(short, F.coalesce("_kept", F.array().cast("array<int>"))))
     out = out.select("_id", "_lines", left.alias("_left")).select("_id", F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n").alias("_text"), F.size("_lines").alias("_all"), F.size("_left").alias("_n"))
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -82,18 +82,16 @@ def contamination(docs, tests, window):
     return out
 
 
-def near_lines(a, b, threshold, long, classes):
-    """Within ``threshold`` characters; lines of ``long`` words or more by words, the more the longer the shorter is."""
-    x, y = re.split(r"[ \t\n\x0b\f\r]+", a), re.split(r"[ \t\n\x0b\f\r]+", b)
-    n = min(len(x), len(y))
-    if n < long:
-        return abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold
-    most = max(t for least, t in classes if n >= least)
-    return abs(len(x) - len(y)) <= most and distance(x, y) <= most
-
-
-def lines_left(rows, threshold, least, long, classes):
-    """{id: text}: a line goes if one within its threshold comes before it, by id and number."""
+def near_lines(a, b, threshold, long):
+    """Within ``threshold`` characters; two lines of ``long`` words or more within so many words."""
+    x, y = a.split(" "), b.split(" ")
+    if min(len(x), len(y)) < long:
+        x, y = a, b
+    return abs(len(x) - len(y)) <= threshold and distance(x, y) <= threshold
+
+
+def lines_left(rows, threshold, least, long):
+    """{id: text}: a line goes if one within the threshold comes before it, by id and number."""
     seen, out = {}, {}
     for i, t in sorted(r for r in rows if r[1] is not None):
         kept = []
@@ -102,7 +100,7 @@ def lines_left(rows, threshold, least, long, classes):
             if len(key) < least:
                 kept.append(line)
                 continue
-            if key not in seen and not any(near_lines(key, s, threshold, long, classes) for s in seen):
+            if key not in seen and not any(near_lines(key, s, threshold, long) for s in seen):
                 kept.append(line)
             seen[key] = True
         out[i] = "\n".join(kept)

@@ -62,13 +62,13 @@ def test_each_stage(spark, folder):
             assert texts(got) == [x for x in before if x[0] in keep]
             assert {i for i in range(300) if i % 6 != 5} <= keep and not {i for i in range(300) if i % 6 == 5} & keep
         elif name == "line dedup":
-            left = brute.lines_left(before, linededup.THRESHOLD, linededup.MIN_CHARS)
+            left = brute.lines_left(before, linededup.THRESHOLD, linededup.MIN_CHARS, linededup.LONG)
             assert texts(got) == [(i, left.get(i)) for i, _ in before]
             assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.collect())
             assert sum(len(t or "") for _, t in before) > sum(len(t or "") for _, t in texts(got))
         elif name == "SimHash near-dedup":
-            of = brute.simhash(before, corpus_pipeline.SHINGLE, corpus_pipeline.DISTANCE)
-            assert texts(got) == [x for x in before if of[x[0]][1] == x[0]] and len(before) > got.count()
+            of = brute.similar(before, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY)
+            assert texts(got) == [x for x in before if of[x[0]] == x[0]] and len(before) > got.count()
         elif name == "benchmark decontamination":
             found = brute.contamination(before, tests, 10)
             assert texts(got) == [x for x in before if not found[x[0]][1]] and len(before) > got.count()

@@ -250,8 +250,8 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, marked (whether the page marks an article), n_blocks, n_shared (its blocks that the
-    nearest page shares) for each page.
+    """page_id, url, text, n_chars, marked (whether the page marks an article), n_blocks, n_shared (of a page
+    that doesn't: its blocks that the nearest page shares) for each page.
 
     Defined results: a null or empty page has an empty text; a null id or url stays null, and pages without a URL are a
     host of their own; a page alone on its host keeps its lines; repeated rows and copies under other URLs have the text
@@ -302,17 +302,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         cut = pages.mapInArrow(read, f"page_id {kind}, url string, host string, path string, digest binary, hashes array<bigint>, marked boolean, text string, lines array<string>")
         cut = s.keep(materialize(cut.withColumn("row", F.monotonically_increasing_id()), "lines"))
         # one row stands for all equal pages of a host
-        heads = cut.groupBy("host", "digest").agg(F.min(F.struct("path", "row")).alias("m")).select("host", "digest", F.col("m.row").alias("row"))
+        heads = cut.groupBy("host", "digest").agg(F.min(F.struct("path", "row", "marked")).alias("m")).select("host", "digest", "m.row", "m.marked")
         heads = materialize(heads, "distinct-pages")
         placed = _in_blocks(cut.select("row", "host", "path", F.col("hashes").alias("lines")).join(heads.select("row").hint("shuffle_hash"), "row", "left_semi"))
         shared = materialize(placed.select("block", "own", "row", "host", "path", "lines").mapInArrow(differ, "row long, gone array<int>"), "shared-lines")
-        shared = s.keep(materialize(heads.join(shared.hint("shuffle_hash"), "row").select("host", "digest", "gone"), "shared-of-pages"))
+        shared = s.keep(materialize(heads.where("not marked").join(shared.hint("shuffle_hash"), "row").select("host", "digest", "gone"), "shared-of-pages"))
     size = F.size("hashes")
     left = F.array_except(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>")), "gone")
-    text = F.when(F.col("marked"), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    out = cut.join(small(shared, "shuffle_hash"), ["host", "digest"])
-    out = out.select("page_id", "url", text.alias("text"), "marked", size.cast("long").alias("n_blocks"), F.size("gone").cast("long").alias("n_shared"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked", "n_blocks", "n_shared")
+    # the text of a page with a marked article is settled where it was read, and stays there
+    settled = cut.where("marked").select("page_id", "url", "text", "marked", size.alias("n"), F.lit(None).cast("int").alias("m"))
+    rest = cut.where("not marked").join(small(shared, "shuffle_hash"), ["host", "digest"])
+    rest = rest.select("page_id", "url", F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n").alias("text"), "marked", size.alias("n"), F.size("gone").alias("m"))
+    return settled.union(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "marked", F.col("n").cast("long").alias("n_blocks"), F.col("m").cast("long").alias("n_shared"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ off from the last byte. Decoding emits the byte labels of the arcs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import json
 from array import array
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import grouped_texts, utf8
 
 #: Words kept with their codes in each Python worker; twice as many at most.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 #: Entries of the pair table and states over bytes that are kept; a full table is begun anew.
 KEPT_ARCS, KEPT_STATES = 250_000, 200_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,6 +176,10 @@ class Words:
     def __init__(self, make: Callable[[str], object]):
         self.make, self.kept, self.older = make, {}, {}
 
+    def rest(self) -> None:
+        """Between two tasks only the newer generation stays."""
+        self.older = {}
+
     def each(self, words: list[str]) -> list:
         kept, missing = self.kept.get, self._missing
         return [kept(w) or missing(w) for w in words]
@@ -250,6 +256,14 @@ class BytePairCoder:
         """The codes as 32-bit integers, one after the other."""
         return b"".join(self._each(text, self.codes, lambda token, t: array("i", [t]).tobytes()))
 
+    def forget(self) -> None:
+        """Drop all that is kept, and give the memory back: the worker goes on to other work."""
+        self.words, self.codes = Words(self._word), Words(self._codes)
+        self.automaton._forget()
+        self.automaton.arcs.clear()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.packed(text)).tolist()
 
@@ -288,6 +302,7 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
             n = np.array([len(p) // 4 for p in packed], np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64()), ids], [id_col, "n_tokens", "ids"])
+        c.forget()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>")
 
@@ -332,6 +347,7 @@ def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 [pa.array(keys), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
+        c.words.rest()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 

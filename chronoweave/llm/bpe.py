@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import grouped_texts, utf8
 
 #: Words kept with their codes in each Python worker; twice as many at most.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 #: Entries of the pair table and states over bytes that are kept; a full table is begun anew.
 KEPT_ARCS, KEPT_STATES = 250_000, 200_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -176,10 +176,6 @@ class Words:
     def __init__(self, make: Callable[[str], object]):
         self.make, self.kept, self.older = make, {}, {}
 
-    def rest(self) -> None:
-        """Between two tasks only the newer generation stays."""
-        self.older = {}
-
     def each(self, words: list[str]) -> list:
         kept, missing = self.kept.get, self._missing
         return [kept(w) or missing(w) for w in words]
@@ -347,7 +343,6 @@ def round_trip(df: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 [pa.array(keys), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
-        c.words.rest()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 

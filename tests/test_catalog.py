@@ -37,6 +37,15 @@ def test_same_rows(spark, duck, name):
     assert len(got) and rows(got) == rows(want)
 
 
+def test_modulo_of_whole_multiples(spark, duck, tmp_path):
+    pairs = "(1, 102.8, 0.4), (2, 3.95, 0.05), (3, 4.8, 0.4), (4, 7.25, 2), (5, 0.3, 0.4), (6, 5, 0)"
+    events = " UNION ALL ".join(f"SELECT TIMESTAMP '2024-01-03 10:00:00' AS ts, u::BIGINT AS user_id, '{m}' AS event_type, {v}::DOUBLE AS value, '{{}}' AS props, u::BIGINT AS event_id FROM p" for m, v in (("click", "a"), ("view", "b")))
+    duck.execute(f"COPY (WITH p(u, a, b) AS (VALUES {pairs}) {events}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["q_op_modulo"](spark, str(tmp_path)).toPandas()
+    want = duck.execute(f"WITH events AS (FROM '{tmp_path}/events.parquet') {catalog.ORACLES['q_op_modulo']}").df()
+    assert len(got) == 12 and rows(got) == rows(want)
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())

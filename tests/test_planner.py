@@ -3,6 +3,7 @@ import math
 import pytest
 from helpers import points, source
 
+from chronoweave.plans.parser import arithmetic
 from chronoweave.plans.planner import PlanError, query, query_range
 
 STEP = 10_000
@@ -88,6 +89,16 @@ def test_ieee_division_and_nan(spark, src):
     assert set(run(spark, src, 'ln(m{k="b"} - m{k="b"})').values()) == {-inf}
 
 
+def test_remainder_of_whole_multiples(spark):
+    inf, nan = float("inf"), float("nan")
+    cases = [(102.8, 0.4, 0), (3.95, 0.05, 0), (-31.92, 0.28, 0), (102.8, 0.25, 0.05), (-7.5, 2, -1.5), (7.5, -2, 1.5), (6, 3, 0), (0.1, 0.4, 0.1), (1, inf, 1), (1e17, 3, 1), (7, 0, nan), (inf, 2, nan)]
+    rows = [({"__name__": n, "k": f"{i:02}"}, [(0, v)]) for i, c in enumerate(cases) for n, v in zip("mn", c, strict=False)]
+    got = run(spark, source(spark, rows), "m % n", end=0)
+    want = [c[2] for c in cases]
+    assert [got[f"k={i:02}", 0] for i in range(len(cases))] == pytest.approx(want, abs=1e-9, nan_ok=True)
+    assert [arithmetic("%", a, b) for a, b, _ in cases] == pytest.approx(want, abs=1e-9, nan_ok=True)
+
+
 def test_order_limits_and_random(spark, src):
     rows = query(spark, src, "sort_desc(m)", 0, 15_000).collect()
     assert [r["value"] for r in rows] == [10, 1]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import NAME, label
 from ..plans.planner import query_range
-from ..sources import events_source
+from ..sources import TableSource, events_source
 
 Run = Callable[[SparkSession, str], DataFrame]
 DAY = 86_400_000
@@ -59,11 +59,11 @@ def sql_shown(sql: str, labels: Sequence[str] = (NAME, "user"), digits: int = 6)
     return f"SELECT {cols}ts_ms, {sql_value('value', digits)} AS value FROM ({sql}) WHERE value IS NOT NULL"
 
 
-def promql(name: str, text: str, sql: str | None, labels: Sequence[str] = ("user",), digits: int = 6, start: int = T0, end: int = T1, step: int = STEP, lookback: int = 2 * DAY) -> None:
+def promql(name: str, text: str, sql: str | None, labels: Sequence[str] = ("user",), digits: int = 6, start: int = T0, end: int = T1, step: int = STEP, lookback: int = 2 * DAY, source: Callable[[SparkSession, str], TableSource] = events_source) -> None:
     """A range query over events and the SQL of its rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(query_range(spark, events_source(spark, sf_dir), text, start, end, step, lookback), labels, digits)
+        return shown(query_range(spark, source(spark, sf_dir), text, start, end, step, lookback), labels, digits)
 
     run.__doc__ = text
     add(name, run, sql_shown(sql, labels, digits) if sql is not None else None)

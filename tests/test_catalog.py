@@ -46,6 +46,14 @@ def test_modulo_of_whole_multiples(spark, duck, tmp_path):
     assert len(got) == 12 and rows(got) == rows(want)
 
 
+def test_buckets_of_a_series_whose_newest_value_is_zero(spark, duck, tmp_path):
+    samples = "(1, '10:00', 5), (1, '11:00', 0), (2, '10:00', 7), (3, '12:00', 0)"
+    duck.execute(f"COPY (SELECT ('2024-01-03 ' || t)::TIMESTAMP AS ts, u::BIGINT AS user_id, 'click' AS event_type, v::DOUBLE AS value, '{{}}' AS props, u::BIGINT AS event_id FROM (VALUES {samples}) p(u, t, v)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["q_fn_prometheus_buckets"](spark, str(tmp_path)).toPandas()
+    want = duck.execute(f"WITH events AS (FROM '{tmp_path}/events.parquet') {catalog.ORACLES['q_fn_prometheus_buckets']}").df()
+    assert len(got) == 6 and rows(got) == rows(want) and set(got[got["le"] == "+Inf"]["value"]) == {2.0}
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())

@@ -35,18 +35,23 @@ def series_rows(keys: DataFrame, retention: Column | int = 0, dedupe: Column | i
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, metric, labels, ts_ms, value, seq of all events."""
+    """key, metric, user, ts_ms, value, seq of all events."""
     src = events_source(spark, sf_dir)
     return src.df.select(
-        F.concat("event_type", F.lit(":"), "user_id").alias("key"), F.col("event_type").alias("metric"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"),
+        F.concat("event_type", F.lit(":"), "user_id").alias("key"), F.col("event_type").alias("metric"), F.col("user_id").alias("user"),
         src.ts_ms.alias("ts_ms"), src.value.alias("value"), src.ts_ms.alias("seq"),
     )
 
 
+def event_keys(rows: DataFrame) -> DataFrame:
+    """key, metric, labels of the series of events. Labels are made of what is left: maps among the rows would be sorted."""
+    return rows.select("metric", "user").distinct().select(F.concat("metric", F.lit(":"), "user").alias("key"), "metric", F.create_map(F.lit("user"), F.col("user").cast("string")).alias("labels"))
+
+
 def filled(spark: SparkSession, sf_dir: str, parts: int = 1, **options: object) -> Engine:
     """All events appended, in ``parts`` batches by user, each of which touches every day."""
     e, rows = engine(spark), events(spark, sf_dir)
-    e.create_many(series_rows(rows.groupBy("key", "metric").agg(F.first("labels").alias("labels")), **options))
+    e.create_many(series_rows(event_keys(rows), **options))
     for k in range(parts):
         e.add_batch(rows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).select("key", "ts_ms", "value", "seq"))
     return e
@@ -180,7 +185,7 @@ add(
 def _statuses(s: SparkSession, d: str) -> DataFrame:
     """What MADD says of each item: the samples again under ``block``, and a key that isn't there."""
     e, rows = engine(s), events(s, d).where("metric = 'click'")
-    e.create_many(series_rows(rows.groupBy("key", "metric").agg(F.first("labels").alias("labels")), policy="block"))
+    e.create_many(series_rows(event_keys(rows), policy="block"))
     first = rows.select("key", "ts_ms", "value", "seq")
     e.add_batch(first)
     again = first.unionByName(first.withColumn("key", F.lit("nobody")))

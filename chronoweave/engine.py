@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.arguments import LATEST, LOOKBACK_MS, DuplicatePolicy, now_ms, parse_chunk_size, range_bounds
 from .model import NAME, SERIES
-from .operators import metadata
+from .operators import ingest, metadata
 from .operators.buckets import range_query
 from .operators.oplog import QueryLog, ResultCache
 from .operators.scan import overlapping
@@ -99,11 +99,13 @@ class Engine:
     def create_many(self, rows: DataFrame) -> int:
         """Rows of the table of series without ids. Those whose key or whose name and labels are there already, or
         come twice in ``rows``, are left out. Returns how many are new."""
-        fresh = identified(rows.where(F.col("db") == self.db)).dropDuplicates(["key"]).dropDuplicates(["series_id"])
         have = self.store.series()
-        fresh = fresh.join(have.select("db", "key"), ["db", "key"], "left_anti").join(have.select("series_id"), "series_id", "left_anti")
+        fresh = identified(rows.where(F.col("db") == self.db)).join(have.select("db", "key"), ["db", "key"], "left_anti").join(have.select("series_id"), "series_id", "left_anti")
         fresh = self.store.staged(fresh)
-        n = fresh.count()
+        n, keys, ids = fresh.agg(F.count("*"), F.count_distinct("key"), F.count_distinct("series_id")).first()
+        if n > min(keys, ids):  # only then: whole rows, with their maps, are sorted for it
+            fresh = self.store.staged(fresh.dropDuplicates(["key"]).dropDuplicates(["series_id"]))
+            n = fresh.count()
         if n:
             self._save(have.unionByName(fresh))
         return n
@@ -182,8 +184,7 @@ class Engine:
 
     def add_batch(self, rows: DataFrame) -> DataFrame:
         """rows: key, ts_ms, value, seq. Returns series_id, ts_ms, seq, status of each row (stored)."""
-        ids = self.series().select("key", "series_id")
-        batch = rows.join(ids, "key", "left").select("series_id", "ts_ms", "value", "seq")
+        batch = rows.select("key", "ts_ms", "value", "seq").join(ingest.options(self.series(), "key"), "key", "left").drop("key")
         # an unknown key has no id; a hash no series has keeps such rows apart
         status = self.store.append(batch.withColumn("series_id", F.coalesce("series_id", F.xxhash64(F.lit("unknown"), "seq"))))
         self._changes += 1
@@ -311,11 +312,11 @@ class Engine:
 
     def snapshot(self, path: str) -> None:
         """All databases' series and samples as a folder of the same kind."""
-        SeriesStore(self.spark, path, self.store.slot_ms // 86_400_000).save(self.store.series(), self.store.samples())
+        SeriesStore(self.spark, path, self.store.slot_ms // 86_400_000).save(self.store.series(), self.store.samples(), self.store.spans())
 
     def restore(self, path: str) -> None:
         other = SeriesStore(self.spark, path)
-        self.store.save(other.series(), other.samples())
+        self.store.save(other.series(), other.samples(), other.spans() if other.slot_ms == self.store.slot_ms else None)
         self._changes += 1
 
     def in_db(self, db: int) -> Engine:

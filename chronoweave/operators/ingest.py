@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from ..functions.arguments import DuplicatePolicy
 from ..functions.numeric import round_to_significant_digits
 
+POLICIES = tuple(p.value for p in DuplicatePolicy)
+#: Samples that are there already count as arrived before any others.
+BEFORE_ALL = -(1 << 63)
 ERROR_UNKNOWN, ERROR_OLD, ERROR_DUPLICATE, ERROR_EARLY, OK = "unknown series", "older than retention", "duplicate sample", "within dedupe interval", "ok"
 
 
-def resolve(policy: Column, value: Column, seq: Column) -> Column:
+def resolve(policy: Column, value: Column, seq: Column, present: Iterable[str] | None = None) -> Column:
     """The value that stays of all values at one timestamp, as an aggregate: seq is the order of arrival. NaN gives
-    way to any number; under ``block`` the first stays."""
+    way to any number; under ``block`` the first stays. present: the only policies there are; others aren't worked out.
+    All states are numbers, since text among them would make Spark sort instead of hash."""
     number, place = F.when(~F.isnan(value), value), F.when(~F.isnan(value), seq)
-    first, last = F.min_by(number, place), F.max_by(number, place)
-    got = (
-        F.when(F.max(policy).isin("first", "block"), first)
-        .when(F.max(policy) == "min", F.min(number))
-        .when(F.max(policy) == "max", F.max(number))
-        .when(F.max(policy) == "sum", F.sum(number))
-        .otherwise(last)
-    )
-    blocked = F.min_by(value, seq)
-    return F.when(F.max(policy) == "block", blocked).otherwise(F.coalesce(got, F.lit(float("nan"))))
+    found = POLICIES if present is None else sorted({p if p in POLICIES else "last" for p in present}) or ["last"]
+    made = {"first": lambda: F.min_by(number, place), "min": lambda: F.min(number), "max": lambda: F.max(number), "sum": lambda: F.sum(number), "last": lambda: F.max_by(number, place)}
+    values = [F.min_by(value, seq) if n == "block" else F.coalesce(made[n](), F.lit(float("nan"))) for n in found]
+    if len(found) == 1:
+        return values[0]
+    code = F.when(policy.isNull(), F.lit(None).cast("int"))
+    for i, n in enumerate(found):
+        code = code.when(policy == n, i)
+    which = F.max(code.otherwise(found.index("last") if "last" in found else -1))
+    got = F.when(which == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        got = got.when(which == i, v)
+    return got
 
 
 def deduplicate(rows: DataFrame, policy: str | DuplicatePolicy, by: Sequence[str] = ("lk", "ts_ms"), seq: str = "seq") -> DataFrame:
@@ -79,6 +86,30 @@ def accepted(rows: DataFrame, by: str = "lk", interval: str = "dedupe_ms", seq:
     return ordered.mapInArrow(run, rows.schema)
 
 
+def options(series: DataFrame, *more: str) -> DataFrame:
+    """series_id, what ingest asks of a series, and more of its columns."""
+    return series.select("series_id", *more, F.coalesce("dup_policy", F.lit("last")).alias("policy"), F.coalesce("retention_ms", F.lit(0)).alias("retention_ms"), F.coalesce("dedupe_ms", F.lit(0)).alias("dedupe_ms"), F.coalesce("sig_digits", F.lit(0)).alias("sig_digits"))
+
+
+def rounded(value: Column, digits: Column) -> Column:
+    out = value
+    for d in range(1, 17):
+        out = F.when(digits == d, round_to_significant_digits(value, d)).otherwise(out)
+    return out
+
+
+def merge(batch: DataFrame, there: DataFrame | None, policies: Iterable[str], digits: bool) -> DataFrame:
+    """What a batch changes where nothing but the policy decides (no retention, no dedupe interval, no ``block``).
+    batch: series_id, ts_ms, value, seq, policy, sig_digits of known series; there: samples before it. Returns series_id,
+    ts_ms, value and whether the sample is new, at the timestamps of the batch only; one shuffle, of fixed-width rows."""
+    value = rounded(F.col("value"), F.col("sig_digits")) if digits else F.col("value")
+    rows = batch.select("series_id", "ts_ms", value.alias("value"), "seq", "policy", F.lit(1).alias("_fresh"))
+    if there is not None:
+        rows = rows.unionByName(there.select("series_id", "ts_ms", "value", F.lit(BEFORE_ALL).alias("seq"), F.lit(None).cast("string").alias("policy"), F.lit(0).alias("_fresh")))
+    got = rows.groupBy("series_id", "ts_ms").agg(resolve(F.col("policy"), F.col("value"), F.col("seq"), policies).alias("value"), F.min("_fresh").alias("_new"), F.max("_fresh").alias("_fresh"))
+    return got.where("_fresh = 1").select("series_id", "ts_ms", "value", (F.col("_new") == 1).alias("new"))
+
+
 def append(series: DataFrame, samples: DataFrame, batch: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """batch: series_id, ts_ms, value, seq. Returns (samples after it, status of each row of the batch). samples may
     be only those of the days that the batch touches if ``last`` (series_id, last_ts) says where each series ends.
@@ -86,7 +117,7 @@ def append(series: DataFrame, samples: DataFrame, batch: DataFrame, last: DataFr
     Rows of unknown series, older than retention, within the dedupe interval, or duplicates under ``block`` don't get
     in and say so in ``status``; the others' values are rounded to the series' significant digits and merged by its
     policy. Samples already there count as arrived before."""
-    policy = series.select("series_id", F.coalesce("dup_policy", F.lit("last")).alias("policy"), F.coalesce("retention_ms", F.lit(0)).alias("retention_ms"), F.coalesce("dedupe_ms", F.lit(0)).alias("dedupe_ms"), F.coalesce("sig_digits", F.lit(0)).alias("sig_digits"))
+    policy = options(series)
     touched = batch.select("series_id").distinct()
     mine = samples.join(touched, "series_id", "left_semi")
     last = last if last is not None else mine.groupBy("series_id").agg(F.max("ts_ms").alias("last_ts"))
@@ -100,10 +131,7 @@ def append(series: DataFrame, samples: DataFrame, batch: DataFrame, last: DataFr
     seed = strict.select("series_id", "last_ts", "dedupe_ms").distinct().where(F.col("last_ts").isNotNull()).select("series_id", F.col("last_ts").alias("ts_ms"), F.lit(-1).cast("bigint").alias("seq"), "dedupe_ms")
     kept = accepted(strict.select("series_id", "ts_ms", F.col("seq").cast("bigint").alias("seq"), "dedupe_ms").unionByName(seed), "series_id").where("seq >= 0").select("series_id", "seq", F.lit(True).alias("_kept"))
     good = good.join(kept, ["series_id", "seq"], "left").withColumn("status", F.when((F.col("dedupe_ms") > 0) & F.col("_kept").isNull(), ERROR_EARLY).otherwise(F.col("status"))).drop("_kept")
-    digits = F.col("sig_digits")
-    value = F.col("value")
-    for d in range(1, 17):
-        value = F.when(digits == d, round_to_significant_digits(F.col("value"), d)).otherwise(value)
+    value = rounded(F.col("value"), F.col("sig_digits"))
     fresh = good.where(F.col("status") == OK).select("series_id", "ts_ms", value.alias("value"), F.col("seq").cast("bigint").alias("seq"), "policy")
     there = mine.join(policy.select("series_id", "policy"), "series_id").select("series_id", "ts_ms", "value", F.lit(-1).cast("bigint").alias("seq"), "policy")
     both = there.unionByName(fresh)

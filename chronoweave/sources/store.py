@@ -26,8 +26,9 @@ from ..operators.selectors import Selector, predicate
 DAY_MS = 86_400_000
 #: Selected series up to so many bytes of label strings are broadcast to the scan of samples; more go through a shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Parts of a day that are read together; one more puts them together. Series of a batch that are named to the scan.
-MOST_PARTS, NAMED_SERIES = 12, 200
+#: Parts of a day that are read together; one more puts them together. Series of a batch that are named to the scan, and
+#: that are broadcast to it; of more series all samples of the batch's days go into the merge.
+MOST_PARTS, NAMED_SERIES, SENT_SERIES = 12, 200, 100_000
 SPANS = "series_id bigint, n bigint, first_ts bigint, last_ts bigint, last_value double"
 BATCH = SAMPLES + ", seq bigint"
 
@@ -47,6 +48,21 @@ def spans_of(samples: DataFrame, *by: str) -> DataFrame:
     return samples.groupBy("series_id", *by).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.max_by("value", "ts_ms").alias("last_value"))
 
 
+def spans_after(spans: DataFrame, changed: DataFrame) -> DataFrame:
+    """Spans of the days and series that ``changed`` (series_id, day, ts_ms, value, new) touches, after it; spans: those
+    before. Unchanged samples aren't read."""
+    names = ["series_id", "day", "n", "first_ts", "last_ts", "last_value"]
+    one = changed.select("series_id", "day", F.col("new").cast("bigint").alias("n"), F.col("ts_ms").alias("first_ts"), F.col("ts_ms").alias("last_ts"), F.col("value").alias("last_value"), F.lit(True).alias("_fresh"))
+    rows = spans.select(*names, F.lit(False).alias("_fresh")).unionByName(one)
+    at = {new: F.when(F.col("_fresh") == new, F.col("last_ts")) for new in (False, True)}
+    got = rows.groupBy("series_id", "day").agg(
+        F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max(at[False]).alias("_old"), F.max(at[True]).alias("_new"),
+        F.max_by("last_value", at[False]).alias("_was"), F.max_by("last_value", at[True]).alias("_is"),
+    )
+    newer = F.col("_old").isNull() | (F.col("_new") >= F.col("_old"))
+    return got.where(F.col("_new").isNotNull()).withColumn("last_value", F.when(newer, F.col("_is")).otherwise(F.col("_was"))).select(names)
+
+
 @dataclass
 class StoreSource:
     """What the planner reads. spans_df: (series_id, n, first_ts, last_ts) of each series, or of parts of it; without
@@ -184,8 +200,8 @@ class SeriesStore:
     def samples(self, days: Iterable[int] | None = None) -> DataFrame:
         return self._read("samples", SAMPLES, ("series_id", "ts_ms"), days)
 
-    def spans(self) -> DataFrame:
-        return self._read("spans", SPANS, ("series_id",))
+    def spans(self, days: Iterable[int] | None = None) -> DataFrame:
+        return self._read("spans", SPANS, ("series_id",), days)
 
     def source(self, db: int = 0) -> StoreSource:
         return StoreSource(self.series(), self.samples(), db, self.spans(), self.slot_ms)
@@ -199,10 +215,13 @@ class SeriesStore:
         """A new version; the one before stays for those who read it."""
         self._commit(series=self._write_series(series))
 
-    def save(self, series: DataFrame, samples: DataFrame) -> None:
-        """All of it: a snapshot."""
-        samples = self.staged(samples.select("series_id", "ts_ms", "value"))
-        part, days = self._write_part(samples, spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+    def save(self, series: DataFrame, samples: DataFrame, spans: DataFrame | None = None) -> None:
+        """All of it: a snapshot. spans: those of the samples with their day, where they are known; samples are then
+        written as they are read."""
+        if spans is None:
+            samples = self.staged(samples.select("series_id", "ts_ms", "value"))
+            spans = spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day")
+        part, days = self._write_part(samples, spans)
         self._commit(series=self._write_series(series), days={str(d): [part] for d in days}, streams={})
 
     def _write_part(self, samples: DataFrame, spans: DataFrame) -> tuple[str, list[int]]:
@@ -242,24 +261,45 @@ class SeriesStore:
         streams = self.manifest()["streams"]
         if stream is not None and streams.get(stream, -1) >= number:
             return None
-        batch = self.staged(batch.select("series_id", "ts_ms", "value", F.col("seq").cast("bigint").alias("seq")))
-        days = [r[0] for r in batch.select(self.day_of(F.col("ts_ms"))).distinct().toLocalIterator() if r[0] is not None]
-        last = self.spans().groupBy("series_id").agg(F.max("last_ts").alias("last_ts"))
-        series, there = self.series(), self.of_days(days)
-        ids = batch.select("series_id").distinct()
-        named = [r[0] for r in ids.limit(NAMED_SERIES + 1).collect()]
-        mine = series.join(ids, "series_id", "left_semi")
+        if "policy" not in batch.columns:
+            batch = batch.join(ingest.options(self.series()), "series_id", "left")
+        known = F.when(F.col("policy").isNull(), ingest.ERROR_UNKNOWN).otherwise(ingest.OK)
+        batch = self.staged(batch.select("series_id", "ts_ms", "value", F.col("seq").cast("bigint").alias("seq"), "policy", "retention_ms", "dedupe_ms", "sig_digits", known.alias("status")))
+        has = batch.agg(
+            F.collect_set(self.day_of(F.col("ts_ms"))).alias("days"), F.collect_set("policy").alias("policies"), F.approx_count_distinct("series_id").alias("series"),
+            *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("retention_ms", "dedupe_ms", "sig_digits")],
+        ).first()
+        days, ids = sorted(has["days"]), batch.select("series_id").distinct()
+        named = [r[0] for r in ids.limit(NAMED_SERIES + 1).collect()] if has["series"] <= 2 * NAMED_SERIES else None
+        few = named is not None and len(named) <= NAMED_SERIES
+        mine = lambda df: df.where(F.col("series_id").isin(named)) if few else df.join(ids, "series_id", "left_semi")
         after_streams = {**streams, stream: number} if stream is not None else streams
-        if mine.where("retention_ms > 0").limit(1).count():  # old samples of these days may go, too
-            after, status = ingest.append(series, there, batch, last)
-            status = self.staged(status)
-            self.replace_days(after, days, streams=after_streams)
-            return status
-        there = there.where(F.col("series_id").isin(named)) if len(named) <= NAMED_SERIES else there.join(ids, "series_id", "left_semi")
-        after, status = ingest.append(series, there, batch, last)
-        status, after = self.staged(status), self.staged(after)
-        changed = self.staged(after.join(batch.select("series_id", "ts_ms").distinct(), ["series_id", "ts_ms"], "left_semi"))
-        part, wrote = self._write_part(changed, spans_of(after.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+        if has["retention_ms"] > 0 or has["dedupe_ms"] > 0 or "block" in has["policies"]:
+            there, last = self.of_days(days), mine(self.spans()).groupBy("series_id").agg(F.max("last_ts").alias("last_ts"))
+            plain = batch.select("series_id", "ts_ms", "value", "seq")
+            if has["retention_ms"] > 0:  # old samples of these days may go, too
+                after, status = ingest.append(self.series(), there, plain, last)
+                status = self.staged(status)
+                self.replace_days(after, days, streams=after_streams)
+                return status
+            after, status = ingest.append(self.series(), mine(there), plain, last)
+            status, after = self.staged(status), self.staged(after)
+            changed = self.staged(after.join(batch.select("series_id", "ts_ms").distinct(), ["series_id", "ts_ms"], "left_semi"))
+            spans = spans_of(after.withColumn("day", self.day_of(F.col("ts_ms"))), "day")
+        else:
+            status = batch.select("series_id", "ts_ms", "seq", "status")
+            of = self.manifest()["days"]
+            there = spans = None
+            if any(str(d) in of for d in days):
+                there, spans = self.of_days(days), self.spans(days)
+                if few:
+                    there, spans = mine(there), mine(spans)
+                elif has["series"] <= SENT_SERIES:
+                    there, spans = (x.join(F.broadcast(ids), "series_id", "left_semi") for x in (there, spans))
+            good = batch.where(F.col("status") == ingest.OK)
+            changed = self.staged(ingest.merge(good, there, has["policies"], has["sig_digits"] > 0).withColumn("day", self.day_of(F.col("ts_ms"))))
+            spans = spans_of(changed, "day") if spans is None else spans_after(spans, changed)
+        part, wrote = self._write_part(changed, spans)
         of = self.manifest()["days"]
         self._commit(days={**of, **{str(d): [*of.get(str(d), []), part] for d in wrote}}, streams=after_streams)
         full = [d for d in wrote if len(self.manifest()["days"][str(d)]) > MOST_PARTS]

@@ -141,3 +141,28 @@ def test_key_events(engine):
     assert engine.key_event("flush") == 1 and not held(engine)
     with pytest.raises(ValueError):
         engine.key_event("painted", "c")
+
+
+@pytest.fixture()
+def staged(monkeypatch):
+    """Grows by one whenever rows are written beside the tables."""
+    calls, real = [], SeriesStore.staged
+    monkeypatch.setattr(SeriesStore, "staged", lambda self, df: calls.append(1) or real(self, df))
+    return calls
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_snapshot_takes_the_spans_over(engine, tmp_path, monkeypatch):
+    """They aren't counted in the samples again (a new folder counts its empty table)."""
+    engine.add("a", DAY, 50.0)
+    before, counted, real = held(engine), [], st.spans_of
+    monkeypatch.setattr(st, "spans_of", lambda samples, *by: counted.append(samples.count()) or real(samples, *by))
+    engine.snapshot(f"file://{tmp_path}/t")
+    engine.flush()
+    assert not held(engine)
+    engine.restore(f"file://{tmp_path}/t")
+    assert held(engine) == before and engine.series().count() == 2 and not any(counted)
+    agree(engine)

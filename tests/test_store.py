@@ -166,3 +166,25 @@ def test_a_snapshot_takes_the_spans_over(engine, tmp_path, monkeypatch):
     engine.restore(f"file://{tmp_path}/t")
     assert held(engine) == before and engine.series().count() == 2 and not any(counted)
     agree(engine)
+
+
+def test_overwriting_writes_the_batch_and_what_it_changes_only(spark, tmp_path, staged):
+    e = Engine(spark, f"file://{tmp_path}/s", cache=False)
+    want = {"first": 2.0, "last": 1.0, "min": 1.0, "max": 2.0, "sum": 3.0}
+    for p in want:
+        e.create_series(p, SeriesOptions(metric=p, dup_policy=p))
+    e.add_many([(p, t, 2.0) for p in want for t in (10, 20)])
+    del staged[:]
+    assert e.add_many([*[(p, 20, 1.0) for p in want], *[(p, 20, float("nan")) for p in want], ("first", 5, 7.0), ("nobody", 5, 1.0)]) == ["ok"] * 11 + ["unknown series"]
+    assert len(staged) == 2
+    assert held(e) == {("first", 5): 7.0} | {(p, 10): 2.0 for p in want} | {(p, 20): v for p, v in want.items()}
+    assert {p: e.get(p) for p in want} == {p: (20, v) for p, v in want.items()}
+    agree(e)
+
+
+def test_policies_are_hashed_not_sorted(spark):
+    from chronoweave.operators.ingest import resolve
+
+    rows = spark.createDataFrame([], "series_id bigint, ts_ms bigint, value double, seq bigint, policy string")
+    made = rows.groupBy("series_id", "ts_ms").agg(resolve(F.col("policy"), F.col("value"), F.col("seq")))
+    assert "HashAggregate" in plan(made) and "SortAggregate" not in plan(made)

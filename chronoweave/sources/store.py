@@ -193,8 +193,9 @@ class SeriesStore:
         out = read(at(False)).select(names) if at(False) else self.spark.createDataFrame([], full)
         if at(True):
             rest = [n for n in names if n not in (*by, "day")]
-            newest = read(at(True)).groupBy(*by, "day").agg(F.max_by(F.struct(*rest), "part").alias("_x"))
-            out = out.unionByName(newest.select(*by, "day", "_x.*"))
+            order = F.substring("part", 1, 12).cast("bigint")  # names begin with the version that made them
+            newest = read(at(True)).groupBy(*by, "day").agg(*[F.max_by(n, order).alias(n) for n in rest])  # numbers only: a hash aggregate
+            out = out.unionByName(newest.select(names))
         return out
 
     def samples(self, days: Iterable[int] | None = None) -> DataFrame:

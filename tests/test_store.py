@@ -188,3 +188,10 @@ def test_policies_are_hashed_not_sorted(spark):
     rows = spark.createDataFrame([], "series_id bigint, ts_ms bigint, value double, seq bigint, policy string")
     made = rows.groupBy("series_id", "ts_ms").agg(resolve(F.col("policy"), F.col("value"), F.col("seq")))
     assert "HashAggregate" in plan(made) and "SortAggregate" not in plan(made)
+
+
+def test_spans_of_several_parts_are_hashed_not_sorted(engine):
+    engine.add("a", DAY, 50.0)
+    spans = engine.store.spans()
+    assert "HashAggregate" in plan(spans) and "SortAggregate" not in plan(spans)
+    agree(engine)

@@ -195,3 +195,11 @@ def test_spans_of_several_parts_are_hashed_not_sorted(engine):
     spans = engine.store.spans()
     assert "HashAggregate" in plan(spans) and "SortAggregate" not in plan(spans)
     agree(engine)
+
+
+def test_samples_of_several_parts_are_hashed_not_sorted(engine):
+    for k in range(3):
+        engine.add("b", DAY + k, 50.0)
+    samples = engine.store.samples()
+    assert "HashAggregate" in plan(samples) and "SortAggregate" not in plan(samples)
+    assert held(engine)["b", DAY] == 54.0 and len(held(engine)) == 18

@@ -111,7 +111,7 @@ class Engine:
         return n
 
     def _save(self, series: DataFrame) -> None:
-        self.store.save_series(self.store.staged(series))
+        self.store.save_series(series)
         self._changes += 1
 
     def alter_series(self, key: str, options: SeriesOptions) -> None:

@@ -203,3 +203,10 @@ def test_samples_of_several_parts_are_hashed_not_sorted(engine):
     samples = engine.store.samples()
     assert "HashAggregate" in plan(samples) and "SortAggregate" not in plan(samples)
     assert held(engine)["b", DAY] == 54.0 and len(held(engine)) == 18
+
+
+def test_a_copy_stages_its_series_and_samples_only(engine, staged):
+    engine.copy_series("b", "c")
+    assert len(staged) == 3  # its row, its samples, what they change
+    assert {t: v for (k, t), v in held(engine).items() if k == "c"} == {t: v for (k, t), v in held(engine).items() if k == "b"}
+    agree(engine)

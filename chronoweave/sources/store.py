@@ -235,9 +235,9 @@ class SeriesStore:
             rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{self.path}/{table}/part={part}")
         return part, sorted(int(n[4:]) for n in self._names(f"samples/part={part}") if n.startswith("day="))
 
-    def _with_days(self, samples: DataFrame, days: Iterable[int]) -> dict[str, list[str]]:
-        """The days of a manifest in which ``samples`` (stored) is all that these days hold."""
-        part, there = self._write_part(samples, spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day"))
+    def _with_days(self, samples: DataFrame, days: Iterable[int], spans: DataFrame | None = None) -> dict[str, list[str]]:
+        """The days of a manifest in which ``samples`` is all that these days hold; stored, unless their spans are known."""
+        part, there = self._write_part(samples, spans_of(samples.withColumn("day", self.day_of(F.col("ts_ms"))), "day") if spans is None else spans)
         kept = {d: parts for d, parts in self.manifest()["days"].items() if int(d) not in set(days)}
         return {**kept, **{str(d): [part] for d in there}}
 
@@ -246,6 +246,12 @@ class SeriesStore:
         days = list(days)
         self._commit(days=self._with_days(self.staged(samples.select("series_id", "ts_ms", "value")), days), **changes)
 
+    def days_of(self, ids: DataFrame) -> list[int]:
+        """The stored days with samples of these series. Parts needn't be put together for it."""
+        at = [f"{self.path}/spans/part={p}/day={d}" for d, parts in self.manifest()["days"].items() for p in parts]
+        rows = self.spark.read.schema("series_id bigint, day bigint").option("basePath", f"{self.path}/spans").parquet(*at) if at else None
+        return [] if rows is None else sorted(r[0] for r in rows.join(ids, "series_id", "left_semi").select("day").distinct().collect())
+
     def of_days(self, days: Iterable[int]) -> DataFrame:
         return self.samples(sorted(days)).select("series_id", "ts_ms", "value")
 
@@ -324,9 +330,9 @@ class SeriesStore:
         ids = self.staged(ids.select("series_id").distinct())
         gone = self.series().join(ids, "series_id", "left_semi").count()
         if gone:
-            days = [r[0] for r in self.spans().join(ids, "series_id", "left_semi").select("day").distinct().toLocalIterator()]
-            rows = self.staged(self.of_days(days).join(ids, "series_id", "left_anti"))
-            self._commit(series=self._write_series(self.series().join(ids, "series_id", "left_anti")), days=self._with_days(rows, days))
+            days = self.days_of(ids)
+            rest = [x.join(ids, "series_id", "left_anti") for x in (self.of_days(days), self.spans(days))]
+            self._commit(series=self._write_series(self.series().join(ids, "series_id", "left_anti")), days=self._with_days(rest[0], days, rest[1]))
         return gone
 
     def compact(self, days: Iterable[int] | None = None) -> None:

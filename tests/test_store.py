@@ -210,3 +210,12 @@ def test_a_copy_stages_its_series_and_samples_only(engine, staged):
     assert len(staged) == 3  # its row, its samples, what they change
     assert {t: v for (k, t), v in held(engine).items() if k == "c"} == {t: v for (k, t), v in held(engine).items() if k == "b"}
     agree(engine)
+
+
+def test_deleted_keys_stage_their_ids_only(engine, staged):
+    engine.add("a", DAY, 50.0)
+    before = held(engine)
+    del staged[:]
+    assert engine.delete_keys("b") == 1 and len(staged) == 1
+    assert held(engine) == {at: v for at, v in before.items() if at[0] == "a"}
+    agree(engine)
